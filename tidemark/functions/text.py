@@ -8,6 +8,7 @@ whose word class is ASCII.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,8 +35,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+@lru_cache(maxsize=1)
+def _stop_words() -> list[Column]:
+    return [F.lit(w) for w in fixed.STOP_WORDS]
+
+
 def is_stop_word(word: Column) -> Column:
-    return word.isin(*fixed.STOP_WORDS)
+    return word.isin(*_stop_words())
 
 
 def stem(word: Column) -> Column:

@@ -200,7 +200,8 @@ def bm25_search(
         .groupBy("kb_id")
         .agg(F.count_if(F.col(mask)).alias("n"), F.avg("doc_len").alias("avg_len"))
     )
-    df = seen.groupBy("kb_id", "term").agg(F.count(F.lit(1)).alias("df"))
+    # Counting by a condition on ``tf`` keeps both uses of the index on one shuffle.
+    df = seen.groupBy("kb_id", "term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = df.join(bounded(stats), "kb_id").select("kb_id", "term", idf.alias("idf"), "avg_len")
     weighted = terms.join(bounded(weights), ["kb_id", "term"])

@@ -111,8 +111,39 @@ tf_v AS (SELECT chunk_id, allowed, escalated, term, count(*) AS tf FROM terms_v
   SELECT conv_id AS session_id, turn, conv_id * 1000 + turn AS trace_id, text AS query,
          TIMESTAMP '2024-01-01' + to_minutes(turn) AS created_at
   FROM conversations WHERE role = 'user')""",
+    "diagnoses_v": """diagnoses_v AS (
+  SELECT kb_id || '-' || c AS diagnosis_id, kb_id,
+    CASE c % 4 WHEN 0 THEN 'missing_content' WHEN 1 THEN 'stale_content' WHEN 2 THEN 'ranking_miss' ELSE 'generation_error' END AS root_cause,
+    'gap:' || c AS target,
+    CASE c % 5 WHEN 0 THEN 'open' WHEN 1 THEN 'fixing' WHEN 2 THEN 'needs_human' WHEN 3 THEN 'fixed' ELSE 'wont_fix' END AS status,
+    impact, created_at, updated_at, c
+  FROM (SELECT kb_id, query_cluster_id AS c, min(created_at) AS created_at, max(created_at) AS updated_at,
+          sum(CASE WHEN negative_signal THEN 1.0::DOUBLE ELSE 0.5 END) AS impact
+        FROM traces_v WHERE status IN ('failed', 'partial') GROUP BY 1, 2)),
+fixes_v AS (
+  SELECT 'fix-' || diagnosis_id AS fix_id, diagnosis_id, kb_id,
+    CASE c % 4 WHEN 0 THEN 'applied' WHEN 1 THEN 'pending_approval' WHEN 2 THEN 'proposed' ELSE 'canary' END AS status,
+    CASE WHEN c % 4 = 0 THEN updated_at END AS applied_at, created_at FROM diagnoses_v)""",
+    "golden_v": """golden_v AS (
+  SELECT item_id, 'kb' || (item_id % 3) AS kb_id, text AS question, string_split(text, '.')[1] AS expected_answer,
+         item_id % 4 <> 3 AS active FROM benchmark)""",
+    "users_v": """users_v AS (
+  SELECT user_id, 'user' || user_id || '@example.org' AS email, 'User ' || user_id AS name,
+    CASE user_id % 3 WHEN 0 THEN 'free' WHEN 1 THEN 'pro' ELSE 'old' END AS plan,
+    CASE WHEN user_id % 7 = 0 THEN 5 END AS daily_limit_override,
+    CASE WHEN user_id % 50 = 0 THEN 'admin' ELSE 'user' END AS role FROM (SELECT DISTINCT user_id FROM events))""",
+    "usage_v": """usage_v AS (
+  SELECT user_id, created_at::DATE AS day, count(*) AS questions, count(*) FILTER (route = 'deep') AS deep,
+    sum(tokens_in)::BIGINT AS tokens_in, sum(tokens_out)::BIGINT AS tokens_out
+  FROM traces_v WHERE status <> 'error' GROUP BY 1, 2)""",
+    "live_v": """live_v AS (
+  SELECT *, route <> 'direct' AND status <> 'escalated' AS answered FROM traces_v
+  WHERE NOT is_eval AND created_at >= TIMESTAMP '2024-01-31' - INTERVAL 14 DAY)""",
 }
 NEEDS = {
+    "diagnoses_v": ("traces_v",),
+    "usage_v": ("traces_v",),
+    "live_v": ("traces_v",),
     "chunks_v": ("docs_v",),
     "masked_v": ("docs_v", "chunks_v"),
     "lens_v": ("docs_v", "chunks_v", "masked_v"),

@@ -202,6 +202,72 @@ class Tables:
             (F.lit("2024-01-01").cast("timestamp") + minutes).alias("created_at"),
         )
 
+    def diagnoses(self) -> DataFrame:
+        """Failing clusters of the trace log read as diagnoses."""
+        states = F.array(*[F.lit(s) for s in ("open", "fixing", "needs_human", "fixed", "wont_fix")])
+        causes = F.array(*[F.lit(c) for c in ("missing_content", "stale_content", "ranking_miss", "generation_error")])
+        bad = self.traces().where(F.col("status").isin("failed", "partial"))
+        c = F.col("query_cluster_id")
+        return (
+            bad.groupBy("kb_id", "query_cluster_id")
+            .agg(
+                F.min("created_at").alias("created_at"),
+                F.max("created_at").alias("updated_at"),
+                F.sum(F.when(F.col("negative_signal"), 1.0).otherwise(0.5)).alias("impact"),
+            )
+            .select(
+                F.concat_ws("-", "kb_id", c.cast("string")).alias("diagnosis_id"),
+                "kb_id",
+                F.get(causes, F.pmod(c, F.lit(4))).alias("root_cause"),
+                F.concat(F.lit("gap:"), c.cast("string")).alias("target"),
+                F.get(states, F.pmod(c, F.lit(5))).alias("status"),
+                "impact",
+                "created_at",
+                "updated_at",
+            )
+        )
+
+    def fixes(self) -> DataFrame:
+        """One fix per diagnosis, applied when its cluster was last seen."""
+        states = F.array(*[F.lit(s) for s in ("applied", "pending_approval", "proposed", "canary")])
+        c = F.substring_index("diagnosis_id", "-", -1).cast("int")
+        return self.diagnoses().select(
+            F.concat(F.lit("fix-"), "diagnosis_id").alias("fix_id"),
+            "diagnosis_id",
+            "kb_id",
+            F.get(states, F.pmod(c, F.lit(4))).alias("status"),
+            F.when(F.pmod(c, F.lit(4)) == 0, F.col("updated_at")).alias("applied_at"),
+            F.col("created_at"),
+        )
+
+    def golden(self) -> DataFrame:
+        return self.benchmark.select(
+            F.col("item_id"),
+            F.concat(F.lit("kb"), F.pmod("item_id", F.lit(3)).cast("string")).alias("kb_id"),
+            F.col("text").alias("question"),
+            F.substring_index("text", ".", 1).alias("expected_answer"),
+            (F.pmod("item_id", F.lit(4)) != 3).alias("active"),
+        )
+
+    def users(self) -> DataFrame:
+        u = F.col("user_id")
+        return self.events.select("user_id").distinct().select(
+            "user_id",
+            F.concat(F.lit("user"), u.cast("string"), F.lit("@example.org")).alias("email"),
+            F.concat(F.lit("User "), u.cast("string")).alias("name"),
+            F.when(F.pmod(u, F.lit(3)) == 0, "free").when(F.pmod(u, F.lit(3)) == 1, "pro").otherwise("old").alias("plan"),
+            F.when(F.pmod(u, F.lit(7)) == 0, 5).alias("daily_limit_override"),
+            F.when(F.pmod(u, F.lit(50)) == 0, "admin").otherwise("user").alias("role"),
+        )
+
+    def plans(self) -> DataFrame:
+        """The two default plans."""
+        return self.spark.createDataFrame(
+            [("free", 30, 5, 2, 5, 20, 300, 25), ("pro", 300, 15, 20, 20, 50, 1500, 25)],
+            "plan string, daily_questions int, per_minute int, deep_per_day int, workspaces int, "
+            "files_per_workspace int, pages_per_workspace int, max_file_mb int",
+        )
+
 
 def as_of() -> Column:
     return F.lit(AS_OF).cast("timestamp")
