@@ -82,11 +82,11 @@ def main(prefixes: list[str], folder: str) -> int:
         try:
             problems = differences(spark, con, name, folder)
         except Exception as e:  # noqa: BLE001 - reported per query
-            problems = [f"{type(e).__name__}: {str(e)[:1500]}"]
+            problems = [f"{type(e).__name__}: {str(e)[:700]}".replace("\n", " ")]
         bad += bool(problems)
         mark = "ok  " if not problems else "FAIL"
         kind = "" if name in catalog.ORACLES else " (rows only)"
-        print(f"{mark} {name}{kind} {time.time() - start:.1f}s", *problems, sep="\n     " if problems else " ", flush=True)
+        print(f"\n## {mark} {name}{kind} {time.time() - start:.1f}s", *problems, sep="\n##   ", flush=True)
     print("failed:", bad)
     return bad
 

@@ -298,7 +298,8 @@ def replay_limits(
 
 def _carried(verdicts: DataFrame, window_s: float) -> DataFrame:
     """Admitted times in the last minute of a user's day, for the user's next day."""
-    late = (F.col("verdict") == "ok") & ((F.col("day") + 1) * 86400 - F.col("ts") <= window_s)
+    watched = ~F.col("exempt") & (F.col("minute_limit") > 0)
+    late = watched & (F.col("verdict") == "ok") & ((F.col("day") + 1) * 86400 - F.col("ts") <= window_s)
     return (
         verdicts.where(late)
         .groupBy("user_id", (F.col("day") + 1).alias("day"))
@@ -348,5 +349,6 @@ def _admit(r, state: dict, window_s: float) -> str:
             return "minute"
     state["used"] += 1
     state["deep"] += bool(r.deep)
-    state["recent"].append(r.ts)
+    if r.minute_limit and not r.exempt:
+        state["recent"].append(r.ts)
     return "ok"
