@@ -11,7 +11,7 @@ from .tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-SECTIONS = "words retrieval health listings signals mining evaluation".split()
+SECTIONS = "words retrieval health listings signals mining evaluation answers".split()
 
 
 def query(name: str, sql: str | None = None):
