@@ -333,18 +333,21 @@ def _(t):
 
 @query(
     "f20_conflicts",
-    """WITH n AS (SELECT event_id AS query_id, user_id, event_type, value FROM events),
-    c AS (SELECT user_id AS query_id, event_type AS claim, list_sort(list(DISTINCT event_id % 100) FILTER (value > 400)) AS docs,
-      count(*) FILTER (value > 400) AS n FROM events GROUP BY 1, 2)
-    SELECT query_id, claim, array_to_string(docs, ',') AS docs FROM c WHERE n > 0""",
+    o.with_views(
+        "traces_v citations_v chunks_v",
+        """SELECT t.trace_id AS query_id, any_value(query) AS claim, string_agg(DISTINCT c.doc_id, ',' ORDER BY c.doc_id) AS docs
+        FROM traces_v t JOIN citations_v c USING (trace_id) JOIN chunks_v USING (chunk_id) WHERE contradiction >= 0.4 GROUP BY 1""",
+    ),
 )
 def _(t):
-    claims = t.events.groupBy(F.col("user_id").alias("query_id"), F.col("event_type").alias("claim")).agg(
-        F.collect_list(F.when(F.col("value") > 400, F.col("event_id"))).alias("contradicting")
-    ).select("query_id", F.lit(0).alias("sentence"), "claim", F.array().cast("array<long>").alias("supporting"), "contradicting")
-    chunks = t.events.select(F.col("event_id").alias("chunk_id"), F.pmod("event_id", F.lit(100)).alias("doc_id"))
+    both = t.citations().groupBy("trace_id").agg(F.sort_array(F.collect_set("chunk_id")).alias("contradicting"))
+    none = F.array().cast("array<string>")
+    claims = t.traces().join(both, "trace_id").select(
+        F.col("trace_id").alias("query_id"), F.lit(0).alias("sentence"), F.col("query").alias("claim"), none.alias("supporting"),
+        F.when(F.col("contradiction") >= 0.4, F.col("contradicting")).otherwise(none).alias("contradicting"),
+    )
     docs = F.array_join(F.transform("doc_ids", lambda d: d.cast("string")), ",")
-    return answers.conflicts(claims, chunks).select("query_id", "claim", docs.alias("docs"))
+    return answers.conflicts(claims, t.chunks()).select("query_id", "claim", docs.alias("docs"))
 
 
 @query(
