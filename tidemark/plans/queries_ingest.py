@@ -184,7 +184,7 @@ def _(t):
     """WITH q AS (SELECT doc_id, round(length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) / length(text), 3) AS pq,
         round(1.0::DOUBLE / (1 + greatest(0, epoch(TIMESTAMP '2024-01-31') - epoch(TIMESTAMP '2024-01-01' + to_hours(doc_id))) / 86400.0::DOUBLE / 180), 3) AS fresh,
         doc_id % 2 AS headings FROM documents)
-    SELECT doc_id, pq AS parse_quality, fresh AS freshness, round(0.5 * least(1.0, pq / 0.7) + 0.3 * fresh + 0.2 * CASE WHEN headings > 0 THEN 1.0 ELSE 0.6 END, 3) AS score FROM q""",
+    SELECT doc_id, pq AS parse_quality, fresh AS freshness, round((0.5 * least(1.0, pq / 0.7) + 0.3 * fresh + 0.2 * CASE WHEN headings > 0 THEN 1.0 ELSE 0.6 END)::VARCHAR::DECIMAL(30, 20), 3)::DOUBLE AS score FROM q""",
 )
 def _(t):
     q = parsing.quality_signals(F.col("text"), F.pmod("doc_id", F.lit(2)), F.col("modified_at"), as_of())
