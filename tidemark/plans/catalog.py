@@ -11,7 +11,7 @@ from .tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-SECTIONS = "words retrieval ingest corpus health listings signals mining evaluation answers healing".split()
+SECTIONS = "words retrieval ingest corpus health listings signals mining evaluation answers healing streams".split()
 
 
 def query(name: str, sql: str | None = None):
