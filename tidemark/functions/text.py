@@ -108,7 +108,8 @@ def shingles(text: Column, k: int = 5) -> Column:
 
     def windows(toks: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size(toks) - (k - 1), F.lit(1)))
-        joined = F.transform(starts, lambda i: F.array_join(F.slice(toks, i, F.lit(k)), " "))
+        # Element access, as ``slice`` copies the whole array at every position.
+        joined = F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(toks, i + j) for j in range(-1, k - 1)]))
         return F.when(F.size(toks) < 1, F.array().cast("array<string>")).otherwise(
             F.array_distinct(joined)
         )

@@ -213,8 +213,11 @@ def bm25_search(
         * (fixed.BM25_K1 + 1)
         / (F.col("tf") + fixed.BM25_K1 * length_part)
     )
+    # With the questions broadcast, postings placed by chunk make the sum local: only the
+    # best rows of each partition are shuffled, not one row per question and chunk.
+    placed = seen.repartition("chunk_id") if small else seen
     scored = (
-        seen.join(bounded(weighted), ["kb_id", "term"])
+        placed.join(bounded(weighted), ["kb_id", "term"])
         .groupBy("query_id", "subq", "chunk_id")
         .agg(F.sum(gain).alias("score"))
         .where(F.col("score") > 0)
@@ -279,12 +282,20 @@ def exact_search(
     located = (
         seen.select("kb_id", "chunk_id", F.explode(F.array_distinct(F.concat(words, _marks(low)))).alias("anchor"))
         .join(maybe_broadcast(wanted), ["kb_id", "anchor"])
-        .drop("anchor")
     )
-    hit = (
-        located.join(seen, ["kb_id", "chunk_id"])
+    # A pattern that is one word is settled by the join; others are looked up in the text.
+    settled = F.lower("pattern") == F.col("anchor")
+    kept = ["query_id", "subq", "chunk_id", "asked"]
+    checked = (
+        located.where(~settled)
+        .join(seen, ["kb_id", "chunk_id"])
         .where(text.whole_word(F.col("hay"), F.col("pattern")))
-        .groupBy("query_id", "subq", "chunk_id", "asked")
+    )
+    hit = (
+        located.where(settled)
+        .select(*kept)
+        .unionByName(checked.select(*kept))
+        .groupBy(*kept)
         .agg(F.count(F.lit(1)).alias("hits"))
     )
     if require_all:

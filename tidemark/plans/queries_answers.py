@@ -115,10 +115,10 @@ class Work:
         self.t = t
         self.chunks = t.masked_chunks()
         self.subqueries = t.parts()
-        hits = bm25_hits(t, self.subqueries, 4, "escalated")
+        hits = t.stored("few_hits", lambda: bm25_hits(t, self.subqueries, 4, "escalated"))
         best = hits.groupBy("query_id", "chunk_id").agg(F.max("score").alias("final"))
-        self.candidates = cut_lineage(
-            best.join(self.chunks.select("chunk_id", "doc_id", "text", "ord"), "chunk_id"), "evidence"
+        self.candidates = t.stored(
+            "candidates", lambda: best.join(self.chunks.select("chunk_id", "doc_id", "text", "ord"), "chunk_id")
         )
         self.top = hits.where(F.col("rank") == 0).select("query_id", F.col("subq").alias("sentence"), "chunk_id")
 

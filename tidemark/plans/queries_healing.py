@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import answers
+from ..operators import answers, search
 from . import questions as q
 from .catalog import query
 
 
 def _base(t):
-    docs = t.docs().withColumn("kb_id", F.lit("all"))
-    return q.Base.build(t.masked_chunks(), docs)
+    chunks = t.masked_chunks()
+    kept = ["kb_id", "chunk_id", "doc_len", "allowed", "escalated"]
+    return q.Base(
+        t.stored("chunks", lambda: chunks),
+        t.stored("docs", lambda: t.docs().withColumn("kb_id", F.lit("all")).drop("text")),
+        t.stored("index", lambda: search.postings(chunks.repartition("chunk_id"))),
+        t.stored("lengths", lambda: search.chunk_lengths(chunks).select(*kept)),
+    )
 
 
 def _planned(t):

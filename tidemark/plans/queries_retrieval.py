@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 from ..operators import ranking, search
+from ..session import cut_lineage
 from . import oracle as o
 from .catalog import query
 
@@ -123,7 +124,7 @@ def bm25_sql(subq: str, k: int, mask: str, rest: str) -> str:
 def bm25_hits(t, subqueries, k, mask="allowed"):
     chunks = t.masked_chunks()
     terms = search.query_terms(subqueries)
-    index = search.postings(chunks, terms)
+    index = cut_lineage(search.postings(chunks, terms), "postings")  # read twice by the search
     return search.bm25_search(terms, index, search.chunk_lengths(chunks), mask, k)
 
 
@@ -226,7 +227,7 @@ class Cascade:
         n = t.parts().groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
         self.need = n.select("query_id", F.when(F.col("n") >= 3, 0.8).otherwise(0.1).alias("freshness_need"))
         self.subqueries = t.parts()
-        self.hits = bm25_hits(t, self.subqueries, 150, "escalated")
+        self.hits = t.stored("hits", lambda: bm25_hits(t, self.subqueries, 150, "escalated"))
         self.signals = t.labels.select(
             F.concat(F.col("doc_id").cast("string"), F.lit("-0")).alias("chunk_id"),
             (F.col("quality") * 3.0).alias("good"),

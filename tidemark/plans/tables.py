@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..session import cut_lineage, spread
 
 NAMES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
 ).split()
+_SCHEMAS: dict = {}
+_STORED: dict = {}
 AS_OF = "2024-01-31 00:00:00"
 
 
@@ -24,7 +29,18 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in NAMES:
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        path = f"{self.folder}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        table = self.spark.read.schema(_SCHEMAS[path]).parquet(path)
+        return spread(table) if name in ("documents", "pages", "conversations") else table
+
+    def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A stage several queries of one session read, written to the shared folder once."""
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _STORED:
+            _STORED[key] = cut_lineage(build(), name)
+        return _STORED[key]
 
     # ---------------------------------------------------------------- corpus
 
@@ -56,11 +72,10 @@ class Tables:
 
         ``one_base`` puts everything in one knowledge base, so one key holds all rows.
         """
-        docs = self.docs()
-        lines = docs.select(
-            (F.lit("all") if one_base else F.col("kb_id")).alias("kb_id"),
+        lines = self.documents.select(
+            (F.lit("all") if one_base else F.col("lang")).alias("kb_id"),
             "doc_id",
-            "title",
+            F.substring_index("text", "\n", 1).alias("title"),
             F.posexplode(F.split("text", "\n")).alias("ord", "text"),
         ).where(F.trim("text") != "")
         return lines.select(

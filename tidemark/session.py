@@ -25,6 +25,7 @@ def local_session(name: str = "tidemark", cores: str = "*", partitions: int = 8)
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
@@ -66,3 +67,15 @@ def small_enough(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
 def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast only after measuring the side; otherwise leave it to a shuffle."""
     return F.broadcast(df) if small_enough(df, limit) else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a source with fewer splits than cores one split per core.
+
+    Tokenising is heavy per byte, so a table in one small file should not be one task.  A
+    table of many files already has splits enough and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
