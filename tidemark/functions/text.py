@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed
@@ -35,6 +35,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed exactly once per row.
+
+    Spark inlines a projected expression into every later use and into pushed filters.  A
+    generator's output is never inlined, so a costly expression goes through one.
+    """
+    made = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.inline(F.array(made)))
+
+
 @lru_cache(maxsize=1)
 def _stop_words() -> list[Column]:
     return [F.lit(w) for w in fixed.STOP_WORDS]

@@ -122,12 +122,13 @@ def grade(candidates: DataFrame, subqueries: DataFrame) -> DataFrame:
         )
         return F.transform(F.slice(F.array_sort(scored), 1, 2), lambda x: x["s"])
 
-    joined = candidates.join(subquery_terms(subqueries), "query_id").withColumn(
-        "_terms", text.content_terms(F.col("text"))
+    joined = text.once(
+        candidates.join(subquery_terms(subqueries), "query_id"), _terms=text.content_terms(F.col("text"))
     )
-    scored = joined.withColumn(
-        "_shares", F.transform("asked", lambda s: F.struct(s["subq"].alias("subq"), text.overlap(s["terms"], F.col("_terms")).alias("share")))
+    shares = F.transform(
+        "asked", lambda s: F.struct(s["subq"].alias("subq"), text.overlap(s["terms"], F.col("_terms")).alias("share"))
     )
+    scored = text.once(joined, _shares=shares)
     top = F.coalesce(F.array_max(F.transform("_shares", lambda s: s["share"])), F.lit(0.0))
     return (
         scored.withColumn("helped", F.transform(F.filter("_shares", lambda s: s["share"] >= 0.5), lambda s: s["subq"]))
@@ -280,19 +281,16 @@ def verify_claims(sentences: DataFrame, evidence: DataFrame, ascii_only: bool =
     Full when a piece covers 80% of its terms and has all its numbers; contradicted by a
     piece that covers 60%, has numbers and shares none.
     """
-    c = sentences.select(
-        "query_id",
-        "sentence",
-        F.col("text").alias("claim"),
-        text.content_terms(F.col("text")).alias("_ct"),
-        text.numbers(F.col("text"), ascii_only).alias("_cn"),
-    )
-    e = evidence.select(
-        "query_id",
-        "chunk_id",
-        text.content_terms(F.col("text")).alias("_et"),
-        text.numbers(F.col("text"), ascii_only).alias("_en"),
-    )
+    c = text.once(
+        sentences.select("query_id", "sentence", F.col("text").alias("claim")),
+        _ct=text.content_terms(F.col("claim")),
+        _cn=text.numbers(F.col("claim"), ascii_only),
+    )
+    e = text.once(
+        evidence.select("query_id", "chunk_id", "text"),
+        _et=text.content_terms(F.col("text")),
+        _en=text.numbers(F.col("text"), ascii_only),
+    ).drop("text")
     share = text.overlap(F.col("_ct"), F.col("_et"))
     has_all = F.size(F.array_except("_cn", "_en")) == 0
     both = c.join(e, "query_id", "left").withColumn("_share", F.coalesce(share, F.lit(0.0))).withColumn(

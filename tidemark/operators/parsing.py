@@ -46,8 +46,10 @@ def _strip(c: Column) -> Column:
 
 def heading_level(line: Column) -> Column:
     """0 for text, else the level a line has as a heading: numbered, capitals, title case."""
-    s = _strip(line)
-    parts = F.split(s, r"(?U)\s+")
+    return text.let(_strip(line), lambda s: text.let(F.split(s, r"(?U)\s+"), lambda parts: _level(s, parts)))
+
+
+def _level(s: Column, parts: Column) -> Column:
     numbered = s.rlike(fixed.NUMBERED_HEADING)
     first = F.get(parts, F.lit(0))
     dots = F.length(first) - F.length(F.replace(first, F.lit(".")))
@@ -163,7 +165,7 @@ def parse_documents(files: DataFrame) -> DataFrame:
     md = md.withColumn("blocks", F.col("_p.blocks")).withColumn(
         "title", block_title(F.col("_p.title"), F.col("_p.blocks"), stem, first_level_one=True)
     )
-    txt = branch("text/plain").withColumn("blocks", text_blocks(F.col("_source")))
+    txt = text.once(text.once(branch("text/plain").drop("_source"), _source=source), blocks=text_blocks(F.col("_source")))
     txt = txt.withColumn("title", block_title(F.lit(""), F.col("blocks"), stem))
     read = ["text/html", "text/markdown", "text/plain"]
     other = files.where(F.col("mime").isNull() | ~F.col("mime").isin(*read))

@@ -99,11 +99,10 @@ _SH = f"SELECT doc_id, {o.tokens('text', True)} AS k FROM documents"
       FROM ({_SH}) WHERE len(k) > 0) GROUP BY 1""",
 )
 def _(t):
-    summary = text.let(
-        text.shingles(F.col("text")),
-        lambda s: F.struct(F.size(s).cast("long").alias("n"), F.array_min(s).alias("first_one"), F.array_max(s).alias("last_one")),
+    sh = text.once(t.documents.select("doc_id", "text"), s=text.shingles(F.col("text"))).where(F.size("s") > 0)
+    return sh.select(
+        "doc_id", F.size("s").cast("long").alias("n"), F.array_min("s").alias("first_one"), F.array_max("s").alias("last_one")
     )
-    return t.documents.select("doc_id", summary.alias("s")).select("doc_id", "s.*").where(F.col("n") > 0)
 
 
 @query("d9_token_estimate", "SELECT doc_id, greatest(1, length(text) // 4)::BIGINT AS est FROM documents")
