@@ -267,9 +267,9 @@ def _(t):
     )
 
 
-@query("e11_priors", cascade_sql(" SELECT query_id, chunk_id, round(stage1, 6) AS stage1 FROM prior_v"))
+@query("e11_priors", cascade_sql(" SELECT query_id, chunk_id, round(stage1, 12) AS stage1 FROM prior_v"))
 def _(t):
-    return Cascade(t).priors().select("query_id", "chunk_id", F.round("stage1", 6).alias("stage1"))
+    return Cascade(t).priors().select("query_id", "chunk_id", F.round("stage1", 12).alias("stage1"))
 
 
 @query(
