@@ -53,7 +53,7 @@ SMALL_TALK = (
     r"(?i)^\s*(hi|hello|hey|hiya|yo|thanks|thank you|thx|ty|cheers|bye|goodbye|see you|"
     r"good (morning|afternoon|evening|night)|how are you|ok|okay|cool|great|nice|got it|"
     r"you'?re welcome|who are you|what can you do|help)\b[\s!.,?:)]*"
-    r"(there|again|so much|a lot|ragx|bot)?[\s!.,?:)]*$"
+    r"(there|again|so much|a lot|bot)?[\s!.,?:)]*$"
 )
 GREETING = (
     r"(?i)^\s*(hi|hello|hey|thanks|thank you|good (morning|evening|afternoon)|how are you)\b[\s!.?]*$"

@@ -7,6 +7,7 @@ whose word class is ASCII.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -168,8 +169,11 @@ def keywords(text: Column, ascii_only: bool = False) -> Column:
     )
 
 
-def is_small_talk(query: Column) -> Column:
-    return F.trim(query).rlike(fixed.SMALL_TALK) & (F.length(query) <= 60)
+def is_small_talk(query: Column, assistant: str = "") -> Column:
+    """Greetings and thanks, also when they end with the name of the ``assistant``."""
+    name = f"|{re.escape(assistant)}" if assistant else ""
+    pattern = fixed.SMALL_TALK.replace("|bot)", f"|bot{name})")
+    return F.trim(query).rlike(pattern) & (F.length(query) <= 60)
 
 
 def looks_like_override(text: Column) -> Column:
