@@ -28,3 +28,12 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = token_store.store(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return token_store.with_crc32(token_store.read(spark, path))
+
+
+@query
+def op4_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through ARC archives into WARC files and back."""
+    from . import warc
+
+    rows = warc.read(spark, warc.archive(table(spark, sf_dir, "pages")))
+    return rows.select(rows.source_id.alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
