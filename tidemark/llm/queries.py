@@ -37,3 +37,22 @@ def op4_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = warc.read(spark, warc.archive(table(spark, sf_dir, "pages")))
     return rows.select(rows.source_id.alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document by pattern and by novelty."""
+    from . import secrets
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.scan(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+@query
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from four fifths of the labelled ones."""
+    from . import languages
+
+    docs = table(spark, sf_dir, "documents")
+    told = languages.predict(docs.select("doc_id", "text"), languages.train(docs))
+    return told.select("doc_id", languages.held_out(told.doc_id).alias("held_out"), "lang_pred", "score")
