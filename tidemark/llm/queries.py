@@ -56,3 +56,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     told = languages.predict(docs.select("doc_id", "text"), languages.train(docs))
     return told.select("doc_id", languages.held_out(told.doc_id).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of 2,048 words, one of a source and of a group of copies in each."""
+    from . import packing
+
+    return packing.pack(packing.sized(table(spark, sf_dir, "documents")))
