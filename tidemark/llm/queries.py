@@ -64,3 +64,18 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
     return packing.pack(packing.sized(table(spark, sf_dir, "documents")))
+
+
+@query
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document by Viterbi search, and whether decoding gives the text back."""
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from . import pieces
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = pieces.decode(pieces.encode(docs, model), model)
+    same = F.coalesce("text", F.lit("")) == F.col("decoded")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_ids"), same.alias("round_trip"), "ids")

@@ -27,8 +27,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import maybe_broadcast, shared_folder
+from .chunks import ChunkTable
 from .spread import bytes_of, parts
-from .words import segments, word_hashes
+from .words import segments
 
 _SCHEMA = "doc_id long, part int, part_start long, n_tokens int, tokens array<int>"
 PART_BYTES = 24 << 20
@@ -53,13 +54,7 @@ class Encoder:
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         spare = iter(range(256, 512))
         self.alphabet = str.maketrans({b: chr(b if b in printable else next(spare)) for b in range(256)})
-        self.limit = limit
-        self.forget()
-
-    def forget(self) -> None:
-        self.keys, self.slots = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32)
-        self.starts, self.lengths, self.count = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int32), 1
-        self.pool, self.used = np.zeros(1 << 18, np.int32), 0
+        self.table = ChunkTable(self.learn, limit)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
@@ -72,49 +67,10 @@ class Encoder:
             return None
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """The number of each hashed chunk, 0 if unknown; open addressing with linear probes."""
-        at, mask = h & np.uint64(len(self.keys) - 1), np.uint64(len(self.keys) - 1)
-        key = self.keys[at]
-        out = np.where(key == h, self.slots[at], 0)
-        todo = np.flatnonzero((key != h) & (key != 0))
-        while len(todo):
-            at[todo] = (at[todo] + np.uint64(1)) & mask
-            key = self.keys[at[todo]]
-            out[todo] = np.where(key == h[todo], self.slots[at[todo]], 0)
-            todo = todo[(key != h[todo]) & (key != 0)]
-        return out
-
-    def put(self, h: np.ndarray, slots: np.ndarray) -> None:
-        """Enter distinct unknown hashes."""
-        if 3 * (self.count + len(h)) > len(self.keys):
-            old = np.flatnonzero(self.keys)
-            h, slots = np.r_[self.keys[old], h], np.r_[self.slots[old], slots]
-            size = 1 << int(6 * (self.count + len(h))).bit_length()
-            self.keys, self.slots = np.zeros(size, np.uint64), np.zeros(size, np.int32)
-        mask = np.uint64(len(self.keys) - 1)
-        at = h & mask
-        while len(h):
-            free = np.flatnonzero(self.keys[at] == 0)
-            self.keys[at[free]], self.slots[at[free]] = h[free], slots[free]
-            lost = self.keys[at] != h
-            h, slots, at = h[lost], slots[lost], (at[lost] + np.uint64(1)) & mask
-
-    def learn(self, h: np.ndarray, texts: list[str]) -> None:
+    def learn(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [self.chunk(x) for x in texts]
         lengths = np.array([-1 if x is None else len(x) for x in found], np.int32)
-        ids = np.array([i for x in found if x is not None for i in x], np.int32)
-        n, total = self.count + len(found), self.used + len(ids)
-        while n > len(self.starts):
-            self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
-        while total > len(self.pool):
-            self.pool = np.resize(self.pool, 2 * len(self.pool))
-        own = np.maximum(lengths, 0).astype(np.int64)
-        self.starts[self.count : n] = self.used + np.cumsum(own) - own
-        self.lengths[self.count : n] = lengths
-        self.pool[self.used : total] = ids
-        self.put(h, np.arange(self.count, n, dtype=np.int32))
-        self.count, self.used = n, total
+        return np.array([i for x in found if x is not None for i in x], np.int32), lengths
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the rows of one segment, and how many each row has."""
@@ -122,26 +78,10 @@ class Encoder:
         if not len(data):
             return np.zeros(0, np.int32), np.zeros(rows, np.int64)
         starts = np.flatnonzero(_cuts(data, offsets))
-        ends = np.r_[starts[1:], len(data)]
-        h = np.maximum(word_hashes(data, starts, ends), np.uint64(1))
-        k = self.find(h)
-        if (new := np.flatnonzero(k == 0)).size:
-            fresh, at = np.unique(h[new], return_index=True)
-            if self.count + len(fresh) > self.limit:
-                self.forget()
-                fresh, at = np.unique(h, return_index=True)
-                new = np.arange(len(h))
-            raw = data.tobytes()
-            at = new[at]
-            self.learn(fresh, [raw[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-            k = self.find(h)
-        lengths = self.lengths[k].astype(np.int64)
+        ids, lengths = self.table(data, starts, np.r_[starts[1:], len(data)])
         firsts = np.searchsorted(starts, offsets)
         unsure = np.unique(np.searchsorted(firsts, np.flatnonzero(lengths < 0), "right") - 1)
-        lengths = np.maximum(lengths, 0)
-        total = np.r_[0, np.cumsum(lengths)]
-        ids = self.pool[np.arange(total[-1]) + np.repeat(self.starts[k] - total[:-1], lengths)]
-        counts = np.diff(total[firsts])
+        counts = np.diff(np.r_[0, np.cumsum(np.maximum(lengths, 0))][firsts])
         if len(unsure):
             at = np.r_[0, np.cumsum(counts)]
             each = [ids[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
