@@ -89,9 +89,7 @@ class Pieces:
         size, n = len(words[0]), len(words)
         prefix = self._prefix(_codes(words, size))
         reach = min(self.longest, size)
-        powers = np.ones(reach + 1, np.uint64)
-        for k in range(reach):
-            powers[k + 1] = powers[k] * _BASE
+        powers = np.array([pow(int(_BASE), k, 1 << 64) for k in range(reach + 1)], np.uint64)
         best = np.full((n, reach + size + 1), -np.inf, np.float32)  # shifted by reach, so that no start lies before 0
         best[:, reach] = 0
         back, piece = np.zeros((n, size + 1), np.int8 if reach < 128 else np.int32), np.full((n, size + 1), -1, np.int32)

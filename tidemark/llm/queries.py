@@ -79,3 +79,12 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pieces.decode(pieces.encode(docs, model), model)
     same = F.coalesce("text", F.lit("")) == F.col("decoded")
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_ids"), same.alias("round_trip"), "ids")
+
+
+@query
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 50-word windows of earlier ones."""
+    from . import substrings
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.remove_repeats(docs, digest=True).select("doc_id", "n_words", "n_removed", "kept_sha256")
