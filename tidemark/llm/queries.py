@@ -88,3 +88,11 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substrings.remove_repeats(docs, digest=True).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near copies among all documents: five-word shingles, Jaccard of 0.8."""
+    from . import jaccard
+
+    return jaccard.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
