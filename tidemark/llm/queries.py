@@ -96,3 +96,11 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import jaccard
 
     return jaccard.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op8_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings with cosine 0.98 and equal labels."""
+    from . import lattice
+
+    return lattice.near_copies(table(spark, sf_dir, "embeddings"))
