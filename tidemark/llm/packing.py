@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import maybe_broadcast
+from ..session import cut_lineage, maybe_broadcast
 
 CAPACITY = 2048
 GROUP_ROWS = 20_000
@@ -127,6 +127,7 @@ class Bins:
 
 def pack(items: DataFrame, capacity: int = CAPACITY, rows: int = GROUP_ROWS) -> DataFrame:
     """One row per piece of each item (doc_id, length, source, cluster): its bin, and its place in the bin."""
+    items = cut_lineage(items, "sizes")  # read four times below
     all_of = items.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("units")).first()
     groups, needed = max(1, -(-all_of["n"] // rows)), max(1, -(-(all_of["units"] or 0) // capacity))
     hashed = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.struct("source", "cluster", "length")))
