@@ -104,3 +104,14 @@ def op8_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import lattice
 
     return lattice.near_copies(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest embeddings of every hundredth one, by greedy search of an NN-descent graph."""
+    from pyspark.sql import functions as F
+
+    from . import neighbours
+
+    found = neighbours.nearest(table(spark, sf_dir, "embeddings"), F.pmod("id", F.lit(100)) == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
