@@ -6,8 +6,8 @@ trained between every two families and between every two languages of a family;
 most wins is chosen, larger margins first among equals.  The score is the logistic of the
 winner's smallest margin, multiplied over both levels.
 
-Training takes at most ``SAMPLE`` labelled texts, evenly by language, by the hash of their id,
-and never a row whose crc32 of the id as text leaves 0 by 5.  Prediction sees text alone.
+Training takes at most ``PER_LANGUAGE`` labelled texts of a language and ``SAMPLE`` in all, evenly
+by language, those whose id hashes lowest, and never a row whose crc32 of the id as text leaves 0 by 5.  Prediction sees text alone.
 
 Null texts and texts without a letter are ``und`` with score 0; so is everything if no row has
 a language.  One known language only is predicted with score 1.  A null id is never held out
@@ -117,8 +117,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     known = known.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     known = known.where(~held_out(F.col("id"))).withColumn("h", F.xxhash64("id"))
+    each = min(PER_LANGUAGE, SAMPLE // max(1, known.select("lang").distinct().count()))
     lowest = Window.partitionBy("lang").orderBy("h")
-    picked = known.select("lang", "h").withColumn("n", F.row_number().over(lowest)).where(F.col("n") <= PER_LANGUAGE)
+    picked = known.select("lang", "h").withColumn("n", F.row_number().over(lowest)).where(F.col("n") <= each)
     bounds = picked.groupBy("lang").agg(F.max("h").alias("top"))
     chosen = known.join(maybe_broadcast(bounds), "lang").where("h <= top").select("lang", "id", "text")
 
