@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import arrow, register, text, vectors
+from tidemark.functions.acronyms import acronyms
+from tidemark.functions.embedding import hash_embedding
 
 
 def one(spark, value, column):
@@ -85,13 +87,40 @@ def test_decode():
     assert arrow.decode_bytes("né".encode("cp1252") + b"!") in ("né!",)
 
 
-def test_acronyms():
-    assert arrow.acronym_pairs("Use Single Sign-On (SSO) and (XYZ).") == [{"full": "Single Sign-On", "acronym": "SSO"}]
-
-
-def test_hash_vector_is_unit_and_signed():
-    v = arrow.hash_vector("alpha beta", 64)
-    assert v @ v == pytest.approx(1.0) and (arrow.hash_vector("", 64) == 0).all()
+def test_equal_json_has_equal_text(spark):
+    said = ['{"a": [1, 2.5], "b": "é"}', 'so: {"a":[1,2.5],"b":"é"} done', '```json\n{"a" : [1, 2.5],\n"b":"é"}\n```']
+    df = spark.createDataFrame([(x,) for x in said], "t string")
+    assert len({r.x for r in df.select(arrow.extract_json(F.col("t")).alias("x")).collect()}) == 1
+
+
+def test_acronyms(spark):
+    said = [
+        "Use Single Sign-On (SSO) and (XYZ).", "(SSO) first", "Role Based Access (RBA) Control Key (RCK) (CK)", None, "nothing here",
+        "a very long lead " * 30 + "National Air and Space Agency (NASA)", "two--part name (TPN)",
+    ]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(said)], "k int, t string")
+    got = [r.x and [tuple(p) for p in r.x] for r in df.select("k", acronyms(F.col("t")).alias("x")).orderBy("k").collect()]
+    assert got == [
+        [("Single Sign-On", "SSO")], [], [("Role Based Access", "RBA"), ("RBA Control Key", "RCK")], None, [], [], [("two--part name", "TPN")],
+    ]
+
+
+def test_hash_embedding(spark):
+    import math
+    import zlib
+
+    said = ["alpha beta", "", None, "One-Two. x_1 é ...", "a a a"]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(said)], "k int, t string")
+    got = {r.k: r.v for r in hash_embedding(df, F.col("t"), 64, "v").collect()}
+    features = {"alpha": 1, "beta": 1, "alpha beta": 0.7} | dict.fromkeys("#alp alph lpha pha# #bet beta eta#".split(), 0.3) | {"beta": 1.3}
+    want = [0.0] * 64
+    for f, w in features.items():
+        code = zlib.crc32(f.encode())
+        want[code % 64] += w if code >> 31 else -w
+    want = [math.copysign(math.log1p(abs(x)), x) for x in want]
+    norm = math.sqrt(sum(x * x for x in want))
+    assert got[0] == pytest.approx([x / norm for x in want], abs=1e-6)
+    assert got[1] == got[2] == [0.0] * 64 and all(sum(x * x for x in got[k]) == pytest.approx(1) for k in (3, 4))
 
 
 def test_vectors(spark):

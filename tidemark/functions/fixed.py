@@ -74,6 +74,14 @@ ABSTAINED = r"(?i)(could not|couldn't|not able|no evidence|not find|unanswered)"
 NUMBERED_HEADING = r"^(\d+(\.\d+)*\.?|[IVX]+\.|Chapter \d+|Section \d+)\s+\S"
 LIST_LINE = r"^\s*([-*•]|\d+[.)])\s+"
 
+# ---- fixed values: HTML elements that are no content, and those without an end tag ----
+
+HTML_CHROME = frozenset("script style noscript nav footer header aside form svg iframe".split())
+HTML_VOID = frozenset(
+    """area base basefont bgsound br col command embed frame hr image img input isindex keygen link menuitem
+    meta nextid param source spacer track wbr""".split()
+)
+
 # ---- fixed values: file types ------------------------------------------------------
 
 FILE_TYPES = {

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blocks as helpers
 from . import fixed, text
-from .fixed import ChunkStrategy
+from .html import html_blocks
 
 
 def _q(s: str) -> str:
@@ -67,31 +67,22 @@ def register_sql(spark: SparkSession) -> list[str]:
     made = _sql_functions()
     for name, (parameters, kind, body) in made.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {kind} RETURN {body}")
-    spark.udtf.register("td_html_blocks", _table_function(_HtmlBlocks, "kind string, text string, level int, page int"))
-    spark.udtf.register(
-        "td_markdown_chunks", _table_function(_MarkdownChunks, "ord int, text string, section_path string, token_count int")
-    )
-    return [*made, "td_html_blocks", "td_markdown_chunks"]
-
-
-def _table_function(handler: type, schema: str):
-    return F.udtf(handler, returnType=schema)
+    spark.udtf.register("td_html_blocks", F.arrow_udtf(_HtmlBlocks, returnType="key long, pos int, kind string, text string, level int"))
+    return [*made, "td_html_blocks"]
 
 
 class _HtmlBlocks:
-    """``LATERAL td_html_blocks(html)``: one row per block of a page."""
-
-    def eval(self, html: str):
-        yield from helpers.html_blocks(html or "")[1]
-
-
-class _MarkdownChunks:
-    """``LATERAL td_markdown_chunks(source, target, max)``: one row per chunk."""
+    """``td_html_blocks(TABLE(SELECT id, html ...))``: the blocks of each page, a batch of pages at a time."""
 
-    def eval(self, source: str, target: int, limit: int):
-        st = ChunkStrategy("sql", target, limit, target // 4, target // 8)
-        for c in helpers.pack_blocks(helpers.markdown_blocks(source or "")[1], st):
-            yield c["ord"], c["text"], c["section_path"], c["token_count"]
+    def eval(self, batch: pa.RecordBatch) -> Iterator[pa.Table]:
+        rows = [
+            (key, pos, kind, body, level)
+            for key, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            for pos, (kind, body, level, _) in enumerate(html_blocks(page or "")[1])
+        ]
+        columns = zip(*rows, strict=True) if rows else [()] * 5
+        kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32()]
+        yield pa.table({n: pa.array(c, k) for n, c, k in zip(("key", "pos", "kind", "text", "level"), columns, kinds, strict=True)})
 
 
 # ------------------------------------------------------------------ embedders and re-rankers
@@ -107,7 +98,7 @@ def embed_with(rows: DataFrame, said: Column, embedder: Callable[[list[str]], Se
         for texts in batches:
             yield pd.Series([list(map(float, v)) for v in embedder(texts.fillna("").tolist())])
 
-    made = F.pandas_udf(run, "array<float>", F.PandasUDFType.SCALAR_ITER)(said)
+    made = F.pandas_udf(run, "array<float>")(said)
     return rows.withColumn("embedding", made).withColumn("embedding_model", F.lit(model_id))
 
 
@@ -127,7 +118,7 @@ def rerank_with(
                 scores = [None] * len(asked)
             yield pd.Series(scores, dtype="float64")
 
-    model = F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)(question, body)
+    model = F.pandas_udf(run, "double")(question, body)
     lexical = text.overlap(text.content_terms(question), text.content_terms(body))
     scored = candidates.withColumn("_model", model)
     missing = F.col("_model").isNull() | F.isnan("_model")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
-from ..functions.arrow import hash_embedding
+from ..functions.embedding import hash_embedding
 
 
 def detect_changes(incoming: DataFrame, docs: DataFrame, force: bool = False, stage: bool = False) -> DataFrame:
@@ -140,7 +140,7 @@ def stage_edited_copy(chunks: DataFrame, docs: DataFrame, edits: DataFrame, mode
     none = F.array().cast("array<string>")
     edited = F.col("aliases_add").isNotNull() | F.col("context_append").isNotNull()
     added = F.filter(F.coalesce("aliases_add", none), lambda a: a != "")
-    aliases = F.slice(F.array_distinct(F.concat(F.coalesce("aliases", none), added)), 1, 24)
+    aliases = F.array_distinct(F.concat(F.coalesce("aliases", none), added))
     extra = F.trim(F.coalesce("context_append", F.lit("")))
     context = F.when(
         (extra != "") & ~F.col("context").contains(extra), F.trim(F.concat_ws(" ", "context", extra))
@@ -154,7 +154,7 @@ def stage_edited_copy(chunks: DataFrame, docs: DataFrame, edits: DataFrame, mode
     )
     head = F.concat(F.col("context"), F.lit(" "), F.array_join("aliases", " "))
     said = embedding_text(F.col("doc_title"), F.col("section_path"), head, F.col("text"))
-    changed = rows.where("_edited").withColumn("embedding", hash_embedding(said, size)).withColumn("embedding_model", F.lit(model))
+    changed = hash_embedding(rows.where("_edited"), said, size).withColumn("embedding_model", F.lit(model))
     same = rows.where(~F.col("_edited"))
     out = changed.select(*chunks.columns).unionByName(same.select(*chunks.columns))
     return out.withColumn("chunk_id", F.concat_ws("@", "chunk_id", F.col("doc_version").cast("string")))
@@ -176,9 +176,7 @@ def reembed_outdated(chunks: DataFrame, model: str, size: int = 512) -> DataFram
     said = embedding_text(
         F.col("title"), F.col("section_path"), F.trim(F.concat_ws(" ", "context", F.array_join("aliases", " "))), F.col("text")
     )
-    redone = chunks.where(~current).withColumn("embedding", hash_embedding(said, size)).withColumn(
-        "embedding_model", F.lit(model)
-    )
+    redone = hash_embedding(chunks.where(~current), said, size).withColumn("embedding_model", F.lit(model))
     return chunks.where(current).unionByName(redone)
 
 

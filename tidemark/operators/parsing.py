@@ -10,14 +10,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import blocks as helpers
 from ..functions import fixed, text
-from ..functions.arrow import acronyms, decode, hash_embedding
+from ..functions.acronyms import acronyms
+from ..functions.arrow import decode
+from ..functions.embedding import hash_embedding
+from ..functions.html import html_blocks
+from ..functions.markdown import markdown_blocks
+from ..functions.packing import chunk_plan, group_firsts
 from ..functions.fixed import DEFAULT_STRATEGY, ChunkStrategy
 from .corpus import embedding_text, heuristic_context
 
 BLOCK = "struct<kind:string,text:string,level:int,page:int>"
-CHUNK = "ord int, text string, section_path string, page int, token_count int"
 
 
 def suffix(name: Column) -> Column:
@@ -125,59 +128,50 @@ def block_title(given: Column, blocks: Column, stem: Column, first_level_one: bo
 
 def parse_html(source: Column) -> Column:
     """struct(title, blocks) of a page."""
-    return F.pandas_udf(_parse_with(helpers.html_blocks), f"title string, blocks array<{BLOCK}>")(source)
-
-
-def parse_markdown(source: Column) -> Column:
-    return F.pandas_udf(_parse_with(helpers.markdown_blocks), f"title string, blocks array<{BLOCK}>")(source)
-
-
-def _parse_with(parse):
     names = ("kind", "text", "level", "page")
 
     def run(sources: pd.Series) -> pd.DataFrame:
-        rows = [parse(s) if s is not None else (None, []) for s in sources]
-        return pd.DataFrame(
-            {"title": [r[0] for r in rows], "blocks": [[dict(zip(names, b)) for b in r[1]] for r in rows]}
-        )
+        rows = [html_blocks(s) if s is not None else (None, []) for s in sources]
+        return pd.DataFrame({"title": [r[0] for r in rows], "blocks": [[dict(zip(names, b, strict=True)) for b in r[1]] for r in rows]})
 
-    return run
+    return F.pandas_udf(run, f"title string, blocks array<{BLOCK}>")(source)
+
+
+def parse_markdown(source: Column) -> Column:
+    """struct(title, blocks) of a Markdown text."""
+    return markdown_blocks(source)
 
 
 def parse_documents(files: DataFrame) -> DataFrame:
-    """Parse rows with ``name``, ``content`` (binary) and ``mime``, each type its own way.
+    """Parse rows with ``name``, ``content`` (binary) and ``mime``, each type its own way, in one pass.
 
     Adds title, blocks and parse_error.  Unsupported or empty files stay as rows with the
     reason, as does a type (PDF, Word) whose codec is not part of this package.
     """
-    stem = stem_title(F.col("name"))
+    mime = F.col("mime")
+    read = ["text/html", "text/markdown", "text/plain"]
+    rows = text.once(files, _source=F.when(mime.isin(*read), decode(F.when(mime.isin(*read), F.col("content")))))
+    rows = rows.withColumn("_html", parse_html(F.when(mime == "text/html", F.col("_source"))))
     none = F.array().cast(f"array<{BLOCK}>")
-    source = decode(F.col("content"))
-
-    def branch(mime: str) -> DataFrame:
-        return files.where(F.col("mime") == mime).withColumn("_source", source)
-
-    html = branch("text/html").withColumn("_p", parse_html(F.col("_source")))
-    html = html.withColumn("blocks", F.col("_p.blocks")).withColumn(
-        "title", block_title(F.col("_p.title"), F.col("_p.blocks"), stem)
+    plain = F.struct(F.lit("").alias("title"), text_blocks(F.col("_source")).cast(f"array<{BLOCK}>").alias("blocks"))
+    marked = parse_markdown(F.col("_source")).cast(f"struct<title:string,blocks:array<{BLOCK}>>")
+    found = (
+        F.when(mime == "text/html", F.col("_html"))
+        .when(mime == "text/markdown", marked)
+        .when(mime == "text/plain", plain)
+        .otherwise(F.struct(F.lit("").alias("title"), none.alias("blocks")))
     )
-    md = branch("text/markdown").withColumn("_p", parse_markdown(F.col("_source")))
-    md = md.withColumn("blocks", F.col("_p.blocks")).withColumn(
-        "title", block_title(F.col("_p.title"), F.col("_p.blocks"), stem, first_level_one=True)
+    rows = text.once(rows, _p=found)
+    title, blocks, stem = F.col("_p.title"), F.col("_p.blocks"), stem_title(F.col("name"))
+    rows = rows.withColumn(
+        "_title", F.when(mime == "text/markdown", block_title(title, blocks, stem, first_level_one=True)).otherwise(block_title(title, blocks, stem))
     )
-    txt = text.once(text.once(branch("text/plain").drop("_source"), _source=source), blocks=text_blocks(F.col("_source")))
-    txt = txt.withColumn("title", block_title(F.lit(""), F.col("blocks"), stem))
-    read = ["text/html", "text/markdown", "text/plain"]
-    other = files.where(F.col("mime").isNull() | ~F.col("mime").isin(*read))
-    other = other.withColumn("blocks", none).withColumn("title", stem)
-    parts = [d.select(*files.columns, "title", "blocks") for d in (html, md, txt, other)]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
     error = (
-        F.when(F.col("mime").isNull(), F.concat(F.lit("unsupported file type: "), "name"))
-        .when(~F.col("mime").isin(*read), F.concat(F.lit("no decoder for "), "mime"))
-        .when(F.size("blocks") == 0, F.concat(F.lit("no extractable text in "), "name"))
+        F.when(mime.isNull(), F.concat(F.lit("unsupported file type: "), "name"))
+        .when(~mime.isin(*read), F.concat(F.lit("no decoder for "), "mime"))
+        .when(F.size(blocks) == 0, F.concat(F.lit("no extractable text in "), "name"))
     )
-    return out.withColumn("parse_error", error)
+    return rows.select(*files.columns, F.col("_title").alias("title"), blocks.alias("blocks"), error.alias("parse_error"))
 
 
 def explode_blocks(parsed: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -187,23 +181,126 @@ def explode_blocks(parsed: DataFrame, key: str = "doc_id") -> DataFrame:
 # ------------------------------------------------------------------ chunks
 
 
-def pack_chunks(docs: DataFrame, keep: list[str], strategy: ChunkStrategy = DEFAULT_STRATEGY) -> DataFrame:
-    """The chunks of each row's ``blocks``, with the kept columns repeated."""
+def _tokens(s: Column) -> Column:
+    return F.greatest(F.lit(1), F.floor(F.length(s) / 4)).cast("int")
+
+
+def _units(kind: Column, body: Column, limit: int) -> Column:
+    """What an oversized block may be cut between: lines, sentences, or stretches of a huge sentence."""
+
+    def unit(s: Column, alone: bool) -> Column:
+        return F.struct(s.alias("s"), F.lit(alone).alias("alone"))
+
+    def stretches(s: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.length(s) - 1) / (4 * limit)))
+        return F.transform(starts, lambda k: unit(F.substring(s, (k * 4 * limit + 1).cast("int"), F.lit(4 * limit)), True))
+
+    def prose(sents: Column) -> Column:
+        some = F.when(F.size(sents) > 0, sents).otherwise(F.array(body))
+        return F.flatten(F.transform(some, lambda s: F.when(_tokens(s) > limit, stretches(s)).otherwise(F.array(unit(s, False)))))
+
+    return (
+        F.when((kind == "heading") | (_tokens(body) <= limit), F.array(unit(body, False)))
+        .when(kind.isin("table", "code", "list"), F.transform(F.split(body, "\n"), lambda s: unit(s, False)))
+        .otherwise(text.let(text.sentences(body), prose))
+    )
 
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for at, listed in enumerate(pdf["blocks"]):
-                found = [(b["kind"], b["text"], int(b["level"]), None if pd.isna(b["page"]) else int(b["page"])) for b in listed]
-                rows += [{"_at": at, **c} for c in helpers.pack_blocks(found, strategy)]
-            names = ["_at", "ord", "text", "section_path", "page", "token_count"]
-            chunks = pd.DataFrame(rows, columns=names).astype({"page": "Int32"})
-            kept = pdf[keep].iloc[chunks["_at"].to_numpy(dtype=int)].reset_index(drop=True)
-            yield pd.concat([kept, chunks.drop(columns="_at")], axis=1)
 
-    kinds = dict(docs.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in keep) + ", " + CHUNK
-    return docs.select(*keep, "blocks").mapInPandas(run, schema)
+def _elements(block: Column, firsts: Column) -> Column:
+    """A block's pieces, between the given first units, as what chunks are made of."""
+    units, head = block["units"], F.get(block["units"], F.lit(0))["s"]
+    heading, table = block["kind"] == "heading", block["kind"] == "table"
+    listed = block["kind"].isin("table", "code", "list")
+
+    def piece(first: Column, i: Column) -> Column:
+        end = F.coalesce(F.get(firsts, i + 1), F.size(units))
+        own = F.transform(F.slice(units, first + 1, end - first), lambda u: u["s"])
+        led = table & (i > 0) & (head != "") & (F.get(own, F.lit(0)) != head)
+        joined = F.when(listed, F.array_join(own, "\n")).otherwise(F.array_join(own, " "))
+        body = F.concat(F.when(led, F.concat(head, F.lit("\n"))).otherwise(""), joined)
+        marks = F.repeat(F.lit("#"), F.greatest(F.lit(1), F.least(F.lit(6), block["level"])))
+        return F.struct(
+            F.when(heading, F.concat(marks, F.lit(" "), body)).otherwise(body).alias("text"),
+            body.alias("body"),  # without the marks of a heading; its size counts
+            F.when(heading, F.greatest(F.lit(1), block["level"])).otherwise(0).alias("level"),
+            (block["kind"] == "para").alias("prose"),
+            block["page"].alias("page"),
+        )
+
+    return F.filter(F.transform(firsts, piece), lambda e: (F.size(firsts) == 1) | (_strip(e["body"]) != ""))
+
+
+def _tail(body: Column, most: int) -> Column:
+    """Whole last sentences of prose, ``most`` tokens together; empty for tables and code."""
+
+    def longest(sents: Column) -> Column:
+        # a sentence and its space are two characters at least
+        many = F.least(F.size(sents), F.lit(2 * most + 4))
+        ends = F.transform(F.sequence(F.lit(1), many), lambda k: F.array_join(F.slice(sents, -k, k), " "))
+        fitting = F.filter(ends, lambda s: _tokens(s) <= most)
+        return F.when(F.size(sents) > 0, F.coalesce(F.get(fitting, F.size(fitting) - 1), F.lit(""))).otherwise("")
+
+    marked = body.startswith("|") | body.startswith("```")
+    return F.when(marked | F.lit(most <= 0), "").otherwise(text.let(text.sentences(body), longest))
+
+
+def _chunk(run: Column, elements: Column, tails: Column) -> Column:
+    own = F.slice(elements, run["first"] + 1, run["rows"])
+    parts = F.transform(own, lambda e: e["text"])
+    carried = F.array(F.get(tails, run["first"] - 1))
+    body = _strip(F.array_join(F.when(run["carried"], F.concat(carried, parts)).otherwise(parts), "\n\n"))
+    trail = F.transform(run["trail"], lambda i: F.get(elements, i)["body"])
+    pages = F.filter(F.transform(own, lambda e: e["page"]), lambda p: p.isNotNull())
+    return text.let(body, lambda b: F.struct(b.alias("text"), F.array_join(trail, " > ").alias("section_path"), F.get(pages, F.lit(0)).alias("page"), _tokens(b).alias("token_count")))
+
+
+def _small_end(chunks: Column, least: int) -> Column:
+    """The last chunk joined to the one before, if it is small and of the same section."""
+    last, prior = F.get(chunks, F.size(chunks) - 1), F.get(chunks, F.size(chunks) - 2)
+    body = F.concat(prior["text"], F.lit("\n\n"), last["text"])
+    both = F.struct(body.alias("text"), prior["section_path"].alias("section_path"), prior["page"].alias("page"), _tokens(body).alias("token_count"))
+    small = (F.size(chunks) > 1) & (last["token_count"] < least // 2) & (last["section_path"] == prior["section_path"])
+    return F.when(small, F.concat(F.slice(chunks, 1, F.greatest(F.size(chunks) - 2, F.lit(0))), F.array(both))).otherwise(chunks)
+
+
+def pack_chunks(docs: DataFrame, keep: list[str], strategy: ChunkStrategy = DEFAULT_STRATEGY) -> DataFrame:
+    """The chunks of each row's ``blocks``, with the kept columns repeated.
+
+    Blocks are cut and joined as array expressions; Arrow functions see token and character
+    counts only and answer with positions.  A document stays one row, so nothing is shuffled.
+    """
+    st = strategy
+    cut = F.transform(
+        "blocks",
+        lambda b: F.struct(b["kind"].alias("kind"), b["level"].alias("level"), b["page"].alias("page"), _units(b["kind"], b["text"], st.max_tokens).alias("units")),
+    )
+    rows = text.once(docs.select(*keep, "blocks"), _cut=cut).drop("blocks")
+    lines = F.col("_cut")
+    head = F.transform(lines, lambda b: F.length(F.get(b["units"], F.lit(0))["s"]))
+    firsts = group_firsts(
+        F.transform(lines, lambda b: F.transform(b["units"], lambda u: F.when(u["alone"], -F.length(u["s"])).otherwise(F.length(u["s"])))),
+        F.transform(lines, lambda b: F.lit(1)),
+        F.transform(lines, lambda b: F.lit(4 * st.max_tokens + 3)),
+        F.transform(F.arrays_zip(lines.alias("b"), head.alias("n")), lambda z: F.when((z["b"]["kind"] == "table") & (z["n"] > 0), z["n"]).otherwise(-1)),
+    )
+    rows = rows.withColumn("_firsts", firsts)
+    rows = text.once(rows, _elements=F.flatten(F.zip_with("_cut", "_firsts", _elements))).drop("_cut", "_firsts")
+    rows = text.once(rows, _tails=F.transform("_elements", lambda e: _tail(e["text"], st.overlap_tokens)))
+    plan = chunk_plan(
+        F.transform("_elements", lambda e: e["level"]),
+        F.transform("_elements", lambda e: _tokens(e["body"])),
+        F.transform("_tails", lambda t: F.when(t == "", 0).otherwise(_tokens(t))),
+        F.transform("_elements", lambda e: e["prose"]),
+        st.target_tokens,
+        st.max_tokens,
+        st.min_tokens,
+    )
+    rows = rows.withColumn("_plan", plan)
+    made = F.transform("_plan", lambda run: _chunk(run, F.col("_elements"), F.col("_tails")))
+    rows = text.once(rows, _chunks=F.filter(made, lambda c: c["text"] != ""))
+    return rows.select(*keep, F.posexplode(_small_end(F.col("_chunks"), st.min_tokens)).alias("ord", "c")).select(
+        *keep, "ord", "c.text", "c.section_path", "c.page", "c.token_count"
+    )
 
 
 def document_text(blocks: Column) -> Column:
@@ -222,14 +319,14 @@ def chunk_documents(parsed: DataFrame, strategy: ChunkStrategy = DEFAULT_STRATEG
 
 
 def chunk_aliases(chunk_text: Column, pairs: Column) -> Column:
-    """Long form and acronym of the definitions a chunk mentions, the first eight."""
+    """Long form and acronym of the definitions a chunk mentions."""
     none = F.array().cast("array<string>")
 
     def mentioned(low: Column) -> Column:
         hits = F.filter(pairs, lambda p: low.contains(F.lower(p["acronym"])) | low.contains(F.lower(p["full"])))
         return F.flatten(F.transform(hits, lambda p: F.array(p["full"], p["acronym"])))
 
-    return F.slice(F.array_distinct(F.coalesce(text.let(F.lower(chunk_text), mentioned), none)), 1, 8)
+    return F.array_distinct(F.coalesce(text.let(F.lower(chunk_text), mentioned), none))
 
 
 def flags(chunk_text: Column) -> Column:
@@ -272,9 +369,7 @@ def add_heuristic_context(chunks: DataFrame) -> DataFrame:
 def add_embedding(chunks: DataFrame, size: int = 512) -> DataFrame:
     head = F.trim(F.concat_ws(" ", "context", F.array_join("aliases", " ")))
     said = embedding_text(F.col("title"), F.col("section_path"), head, F.col("text"))
-    return chunks.withColumn("embedding", hash_embedding(said, size)).withColumn(
-        "embedding_model", F.lit(f"hash:hash-{size}")
-    )
+    return hash_embedding(chunks, said, size).withColumn("embedding_model", F.lit(f"hash:hash-{size}"))
 
 
 def quality_signals(body: Column, headings: Column, modified_at: Column, as_of: Column) -> Column:

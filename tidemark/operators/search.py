@@ -225,15 +225,17 @@ def bm25_search(
     return top_hits(scored, "bm25", k)
 
 
-def top_hits(scored: DataFrame, retriever: str, k: int) -> DataFrame:
+def top_hits(scored: DataFrame, retriever: str, k: int | None) -> DataFrame:
+    """The best ``k`` (all, if None) of each sub-question, ranked from 0.
+
+    The bare row number is what is filtered: Spark then keeps ``k`` rows of a question in each
+    partition before the shuffle.
+    """
     order = [F.round("score", DIGITS).desc(), F.col("chunk_id")]
     w = Window.partitionBy("query_id", "subq").orderBy(*order)
-    return (
-        scored.withColumn("rank", F.row_number().over(w) - 1)
-        .where(F.col("rank") < k)
-        .withColumn("retriever", F.lit(retriever))
-        .select("query_id", "subq", "retriever", "chunk_id", "rank", "score")
-    )
+    numbered = scored.withColumn("nth", F.row_number().over(w))
+    kept = numbered if k is None else numbered.where(F.col("nth") <= k)
+    return kept.select("query_id", "subq", F.lit(retriever).alias("retriever"), "chunk_id", (F.col("nth") - 1).alias("rank"), "score")
 
 
 # ------------------------------------------------------------------ exact matches
@@ -304,9 +306,10 @@ def exact_search(
     return top_hits(scored, "exact", k)
 
 
-def broad_patterns(subqueries: DataFrame) -> DataFrame:
-    """The first four keywords longer than three characters of each sub-question."""
-    kept = F.slice(F.filter("keywords", lambda w: F.length(w) > 3), 1, 4)
+def broad_patterns(subqueries: DataFrame, most: int | None = None) -> DataFrame:
+    """Keywords longer than three characters of each sub-question; the first ``most`` if given."""
+    kept = F.filter("keywords", lambda w: F.length(w) > 3)
+    kept = kept if most is None else F.slice(kept, 1, most)
     return subqueries.select("kb_id", "query_id", "subq", kept.alias("patterns"))
 
 
@@ -331,7 +334,7 @@ BLOCK_VECTORS = 4096  # vectors per side of one block pair
 def dense_search(
     queries: DataFrame,
     vectors: DataFrame,
-    k: int = fixed.DEFAULTS.retrieve_k,
+    k: int | None = fixed.DEFAULTS.retrieve_k,
     min_score: float | None = None,
     block: int = BLOCK_VECTORS,
 ) -> DataFrame:
@@ -383,7 +386,7 @@ def _unit(rows: pd.Series, size: int) -> tuple[np.ndarray, np.ndarray]:
     return m[n > 0] / n[n > 0][:, None], np.flatnonzero(usable)[n > 0]
 
 
-def _block_top(q: pd.DataFrame, v: pd.DataFrame, k: int, min_score: float | None) -> pd.DataFrame:
+def _block_top(q: pd.DataFrame, v: pd.DataFrame, k: int | None, min_score: float | None) -> pd.DataFrame:
     parts = []
     for model, qm in q.groupby("model"):
         vm = v[v["model"] == model]

@@ -158,7 +158,7 @@ def _(t):
 
 @query("b12_acronyms")
 def _(t):
-    from ..functions.arrow import acronyms
+    from ..functions.acronyms import acronyms
 
     said = F.concat("text", F.lit(" The Global Nation Office (GNO) and Single Sign-On (SSO) apply."))
     rows = t.documents.select("doc_id", F.col("text"), acronyms(said).alias("pairs"))

@@ -178,7 +178,7 @@ def _(t):
     return _hits(search.exact_search(search.identifier_patterns(asked), t.masked_chunks()))
 
 
-@query("e9_broad_exact", o.with_views("masked_v", _EXACT % (f"({_KW})[1:4]", "WHERE hits = asked")))
+@query("e9_broad_exact", o.with_views("masked_v", _EXACT % (_KW, "WHERE hits = asked")))
 def _(t):
     asked = t.parts().withColumn("keywords", _simple(text.words(F.col("question"))))
     return _hits(search.exact_search(search.broad_patterns(asked), t.masked_chunks(), require_all=True))

@@ -127,7 +127,7 @@ def _(t):
 def _(t):
     register.register_sql(t.spark)
     t.pages.createOrReplaceTempView("td_pages")
-    return t.spark.sql("SELECT page_id, b.* FROM td_pages, LATERAL td_html_blocks(html) b")
+    return t.spark.sql("SELECT key AS page_id, pos, kind, text, level FROM td_html_blocks(TABLE(SELECT page_id, html FROM td_pages))")
 
 
 @query(
