@@ -62,18 +62,19 @@ def base_tokens(chunks: DataFrame) -> DataFrame:
     return live.groupBy("kb_id").agg(F.sum("token_count").alias("kb_tokens"))
 
 
-def plan_questions(questions: DataFrame, max_parts: int = DEFAULTS.standard_subquestions, column: str = "query") -> DataFrame:
-    """Sub-questions of each question, split on ``?``, ``;`` and a second question word."""
+def plan_questions(questions: DataFrame, max_parts: int | None = None, column: str = "query") -> DataFrame:
+    """Sub-questions of each question, split on ``?``, ``;`` and a second question word; the first ``max_parts`` if given."""
     q = F.col(column)
     pieces = F.transform(F.split(q, "(?U)" + fixed.QUESTION_BREAK), lambda s: F.btrim(s, F.lit(" \t\n\r\f\v")))
     useful = F.filter(pieces, lambda s: F.size(text.content_terms(s)) >= 1)
-    parts = text.let(useful, lambda u: F.slice(F.when(F.size(u) > 0, u).otherwise(F.array(q)), 1, max_parts))
+    parts = text.let(useful, lambda u: F.when(F.size(u) > 0, u).otherwise(F.array(q)))
+    parts = parts if max_parts is None else F.slice(parts, 1, max_parts)
     part = F.col("part")
     rows = questions.select(*questions.columns, F.posexplode(parts).alias("subq", "part"))
     return (
         rows.withColumn("question", F.when(part.endswith("?"), part).otherwise(F.concat(part, F.lit("?"))))
-        .withColumn("keywords", F.slice(text.keywords(part), 1, 8))
-        .withColumn("identifiers", F.slice(text.identifiers(part), 1, 8))
+        .withColumn("keywords", text.keywords(part))
+        .withColumn("identifiers", text.identifiers(part))
         .withColumn("variants", F.array().cast("array<string>"))
         .drop("part")
     )
@@ -430,7 +431,7 @@ def conflicts(claims: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def cited_sentence(said: Column, chunk_text: Column) -> Column:
-    """The chunk's sentence closest to what was said, at most 300 characters."""
+    """The chunk's sentence closest to what was said."""
 
     def closest(terms: Column, sents: Column) -> Column:
         scored = F.transform(
@@ -439,7 +440,7 @@ def cited_sentence(said: Column, chunk_text: Column) -> Column:
         return F.array_min(scored)["s"]
 
     best = text.let(text.content_terms(said), lambda t: closest(t, text.sentences(chunk_text)))
-    return F.substring(F.coalesce(best, chunk_text), 1, 300)
+    return F.coalesce(best, chunk_text)
 
 
 def citation_numbers(sentences: DataFrame) -> DataFrame:
@@ -535,8 +536,8 @@ def pool_subanswers(citations_: DataFrame) -> DataFrame:
     )
 
 
-def follow_ups(subanswers: DataFrame, planned: DataFrame, n: int = 4) -> DataFrame:
-    """Open parts of unverified sub-answers that were not planned, ``n`` per parent.
+def follow_ups(subanswers: DataFrame, planned: DataFrame, n: int | None = None) -> DataFrame:
+    """Open parts of unverified sub-answers that were not planned; the first ``n`` per parent if given.
 
     ``subanswers``: parent_id, worker, status, unanswered (array).
     """
@@ -546,7 +547,8 @@ def follow_ups(subanswers: DataFrame, planned: DataFrame, n: int = 4) -> DataFra
     fresh = gaps.join(planned.select("parent_id", "question"), ["parent_id", "question"], "left_anti")
     once = fresh.groupBy("parent_id", "question").agg(F.min(F.struct("worker", "pos")).alias("at"))
     w = Window.partitionBy("parent_id").orderBy("at")
-    return once.withColumn("position", F.row_number().over(w)).where(F.col("position") <= n).drop("at")
+    placed = once.withColumn("position", F.row_number().over(w)).drop("at")
+    return placed if n is None else placed.where(F.col("position") <= n)
 
 
 def within_budget(steps: DataFrame, cfg: Tunables = DEFAULTS) -> DataFrame:

@@ -35,9 +35,10 @@ def document_detail(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     return chunks.drop("title").join(titles, "doc_id").orderBy("doc_id", "status", "ord")
 
 
-def find_users(users: DataFrame, needle: str, limit: int = 1000) -> DataFrame:
+def find_users(users: DataFrame, needle: str, limit: int | None = None) -> DataFrame:
     n = F.lit(needle.strip().lower())
-    return users.where(F.lower("email").contains(n) | F.lower("name").contains(n)).orderBy("email").limit(limit)
+    found = users.where(F.lower("email").contains(n) | F.lower("name").contains(n)).orderBy("email")
+    return found if limit is None else found.limit(limit)
 
 
 def filter_traces(
@@ -71,12 +72,12 @@ def trace_detail(traces: DataFrame, feedback: DataFrame) -> DataFrame:
     return traces.join(given, "trace_id", "left")
 
 
-def chats(traces: DataFrame, limit: int = 100) -> DataFrame:
-    """Sessions with first question, last activity and size, newest first."""
+def chats(traces: DataFrame, limit: int | None = None) -> DataFrame:
+    """Sessions with first question, last activity and size, newest first; the first ``limit`` if given."""
     mine = traces.where(F.col("session_id").isNotNull() & ~F.col("is_eval") & ~F.col("hidden"))
     first = F.min_by("query", F.struct("created_at", "trace_id"))
-    title = F.substring(collapse(F.coalesce(F.col("_first"), F.lit("New chat"))), 1, 120)
-    return (
+    title = collapse(F.coalesce(F.col("_first"), F.lit("New chat")))
+    listed = (
         mine.groupBy("session_id")
         .agg(
             first.alias("_first"),
@@ -85,9 +86,9 @@ def chats(traces: DataFrame, limit: int = 100) -> DataFrame:
             F.count(F.lit(1)).alias("messages"),
         )
         .orderBy(F.col("updated_at").desc(), "session_id")
-        .limit(limit)
-        .select("session_id", title.alias("title"), "started_at", "updated_at", "messages")
     )
+    listed = listed if limit is None else listed.limit(limit)
+    return listed.select("session_id", title.alias("title"), "started_at", "updated_at", "messages")
 
 
 def chat_turns(traces: DataFrame) -> DataFrame:

@@ -14,10 +14,6 @@ from ..functions.fixed import DEFAULTS, Tunables
 
 OPEN = ("open", "fixing", "needs_human")
 LIVE_FIX = ("proposed", "evaluating", "pending_approval", "canary")
-MAX_PER_CYCLE = 200
-MAX_FIXES = 5
-MAX_TARGETS = 8
-MAX_WORDS = 20
 
 _FINDING = {
     "kb_id": None, "trace_id": None, "root_cause": "string", "target": "string", "severity": "double",
@@ -44,16 +40,13 @@ def worth_mining() -> Column:
     )
 
 
-def mine_failures(traces: DataFrame, limit: int = MAX_PER_CYCLE) -> DataFrame:
-    """The oldest ``limit`` traces per base worth learning from; the rest wait a cycle."""
+def mine_failures(traces: DataFrame, limit: int | None = None) -> DataFrame:
+    """The traces worth learning from; with ``limit`` the oldest of each base, the rest wait a cycle."""
+    worth = traces.where(worth_mining()).withColumn("severity", severity())
+    if limit is None:
+        return worth
     w = Window.partitionBy("kb_id").orderBy("created_at", "trace_id")
-    return (
-        traces.where(worth_mining())
-        .withColumn("_nth", F.row_number().over(w))
-        .where(F.col("_nth") <= limit)
-        .drop("_nth")
-        .withColumn("severity", severity())
-    )
+    return worth.withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") <= limit).drop("_nth")
 
 
 def bases_with_work(bases: DataFrame, traces: DataFrame) -> DataFrame:
@@ -86,8 +79,8 @@ def rescue_findings(
     web = _finding(
         base.where(F.col("origin") == "web"),
         "missing_content",
-        F.concat(F.lit("web:"), F.substring(q, 1, 120)),
-        F.concat(F.lit("Answer to '"), q, F.lit("' was only found on the web")),
+        F.concat(F.lit("web:"), q),
+        F.concat(F.lit("Only a web search could settle: "), q),
         question=q,
         url=F.col("url"),
     )
@@ -127,12 +120,12 @@ def rescue_findings(
     keep_words = F.col("origin").isin("rewrite", "widen", "exact") | (cold & ~shut_out & ~cold_tier)
     quoted = F.concat(F.lit("'"), q, F.lit("'"))
     summary = (
-        F.when(F.col("origin") == "rewrite", F.concat(F.lit("Asked with other words than the document: "), quoted))
-        .when(F.col("origin") == "widen", F.concat(F.lit("Relevant chunk ranked below the cut for "), quoted))
-        .when(F.col("origin") == "neighbor", F.concat(F.lit("Answer was split across adjacent chunks: "), quoted))
-        .when(shut_out, F.concat(F.lit("Quarantined document was needed for "), quoted))
-        .when(cold_tier, F.concat(F.lit("Cold document was needed for "), quoted))
-        .otherwise(F.concat(F.lit("Chunk only matched by exact identifier for "), quoted))
+        F.when(F.col("origin") == "rewrite", F.concat(F.lit("The document words this differently: "), quoted))
+        .when(F.col("origin") == "widen", F.concat(F.lit("A helpful chunk came too low in the ranking of "), quoted))
+        .when(F.col("origin") == "neighbor", F.concat(F.lit("Neighbouring chunks share the answer to "), quoted))
+        .when(shut_out, F.concat(F.lit("Only a document set aside could answer "), quoted))
+        .when(cold_tier, F.concat(F.lit("Only a document in the cold tier could answer "), quoted))
+        .otherwise(F.concat(F.lit("Nothing but an exact identifier led to the chunk for "), quoted))
     )
     rest = _finding(
         worded.withColumn("_cause", cause).where(F.col("_cause").isNotNull()),
@@ -153,20 +146,20 @@ def unsupported_findings(mined: DataFrame, dropped: DataFrame) -> DataFrame:
     """Statements without support in spite of evidence.  ``dropped``: trace_id, sentence."""
     n = dropped.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n"))
     rows = mined.join(n, "trace_id").withColumn("severity", F.col("severity") * 0.8)
-    summary = F.concat(F.col("n").cast("string"), F.lit(" generated statement(s) were not supported by the cited evidence"))
+    summary = F.concat(F.col("n").cast("string"), F.lit(" sentence(s) of the answer lacked support in what they cite"))
     return _finding(rows, "generation_error", "prompt:generate", summary, question=F.col("query"))
 
 
 def conflict_findings(mined: DataFrame, conflict_claims: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Contradicted claims: the target names the first four of the documents involved."""
+    """Contradicted claims: the target names the documents involved."""
     docs = (
         evidence.where(F.col("doc_id").isNotNull())
         .groupBy("trace_id")
         .agg(F.sort_array(F.collect_set(F.col("doc_id").cast("string"))).alias("doc_ids"))
     )
     rows = mined.join(conflict_claims.select("trace_id").distinct(), "trace_id").join(docs, "trace_id")
-    target = F.concat(F.lit("docs:"), F.array_join(F.slice("doc_ids", 1, 4), ","))
-    return _finding(rows, "conflicting_sources", target, "Retrieved sources contradict each other", question=F.col("query"))
+    target = F.concat(F.lit("docs:"), F.array_join("doc_ids", ","))
+    return _finding(rows, "conflicting_sources", target, "The documents found do not agree", question=F.col("query"))
 
 
 def gap_findings(mined: DataFrame, rescues: DataFrame, errors: DataFrame, unanswered: DataFrame) -> DataFrame:
@@ -182,8 +175,8 @@ def gap_findings(mined: DataFrame, rescues: DataFrame, errors: DataFrame, unansw
         .join(first, "trace_id", "left")
         .withColumn("_gap", F.coalesce("_gap", "query"))
     )
-    target = F.concat(F.lit("gap:"), F.lower(F.substring("_gap", 1, 120)))
-    return _finding(rows, "missing_content", target, F.concat(F.lit("No document answers: "), "_gap"), question=F.col("_gap"))
+    target = F.concat(F.lit("gap:"), F.lower("_gap"))
+    return _finding(rows, "missing_content", target, F.concat(F.lit("Nothing indexed covers: "), "_gap"), question=F.col("_gap"))
 
 
 def injection_findings(mined: DataFrame, evidence: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -199,7 +192,7 @@ def injection_findings(mined: DataFrame, evidence: DataFrame, chunks: DataFrame)
         rows,
         "injection",
         F.concat(F.lit("doc:"), F.col("doc_id").cast("string")),
-        "Retrieved chunk contains prompt-injection patterns",
+        "A chunk found for the question tries to give orders",
         doc_id=F.col("doc_id"),
         chunk_id=F.col("chunk_id"),
     )
@@ -221,14 +214,14 @@ def negative_findings(
         stale_rows,
         "stale_content",
         F.concat(F.lit("doc:"), F.col("doc_id").cast("string")),
-        "Document changed at the source since it was indexed",
+        "The source has moved on since this document was indexed",
         doc_id=F.col("doc_id"),
     )
     gate = _finding(
         unhappy.where(F.col("route") == "direct"),
         "gate_error",
         "gate:threshold",
-        "Answered without retrieval but the user was not satisfied",
+        "A direct reply, given without any search, was disliked",
         question=F.col("query"),
     )
     explained = others.select("trace_id").unionByName(stale.select("trace_id")).unionByName(gate.select("trace_id"))
@@ -236,7 +229,7 @@ def negative_findings(
         unhappy.join(explained, "trace_id", "left_anti"),
         "unexplained_negative",
         F.concat(F.lit("trace:"), F.col("trace_id").cast("string")),
-        "User marked the answer as wrong; no automatic cause found",
+        "Marked as wrong for a reason no rule finds",
         question=F.col("query"),
     )
     return stale.unionByName(gate).unionByName(unexplained)
@@ -261,8 +254,8 @@ def diagnosis_traces(findings: DataFrame, known: DataFrame | None = None) -> Dat
     )
 
 
-def diagnosis_words(findings: DataFrame, limit: int = MAX_WORDS) -> DataFrame:
-    """The first ``limit`` distinct user and document words of each diagnosis."""
+def diagnosis_words(findings: DataFrame, limit: int | None = None) -> DataFrame:
+    """The distinct user and document words of each diagnosis, in order of first use; the first ``limit`` if given."""
     kinds = F.array(
         F.struct(F.lit("user").alias("kind"), F.col("user_words").alias("words")),
         F.struct(F.lit("doc").alias("kind"), F.col("doc_words").alias("words")),
@@ -271,7 +264,8 @@ def diagnosis_words(findings: DataFrame, limit: int = MAX_WORDS) -> DataFrame:
     words = listed.select(*_KEY, "kind", "seen_at", "trace_id", F.posexplode("words").alias("pos", "word"))
     first = words.groupBy(*_KEY, "kind", "word").agg(F.min(F.struct("seen_at", "trace_id", "pos")).alias("at"))
     w = Window.partitionBy(*_KEY, "kind").orderBy("at", "word")
-    kept = first.withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") <= limit)
+    kept = first.withColumn("_nth", F.row_number().over(w))
+    kept = kept if limit is None else kept.where(F.col("_nth") <= limit)
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("_nth", "word"))), lambda s: s["word"])
     per = kept.groupBy(*_KEY, "kind").agg(ordered.alias("words"))
     return per.groupBy(*_KEY).agg(
@@ -303,9 +297,12 @@ def propose_fixes(
     live_fixes: DataFrame,
     worst_docs: DataFrame | None = None,
     cfg: Tunables = DEFAULTS,
+    most_words: int | None = None,
 ) -> DataFrame:
     """Fixes per diagnosis without a live one: kind, risk, params (map).
 
+    ``most_words`` limits the words a fix adds or expands.
+
     ``live_fixes``: kb_id, root_cause, target, status.  ``worst_docs`` gives the document
     to set aside per conflicting diagnosis, see :func:`worst_of_conflict`.
     """
@@ -317,8 +314,9 @@ def propose_fixes(
         d = d.withColumn("worst_doc", F.lit(None).cast("string"))
     rc = F.col("root_cause")
     none = F.array().cast("array<string>")
-    user = F.slice(F.filter(F.coalesce("user_words", none), lambda w: F.length(w) > 2), 1, 8)
-    docw = F.coalesce("doc_words", none)
+    first = lambda words: words if most_words is None else F.slice(words, 1, most_words)
+    user = first(F.filter(F.coalesce("user_words", none), lambda w: F.length(w) > 2))
+    docw = first(F.coalesce("doc_words", none))
     cold = (rc == "ranking_miss") & (F.coalesce("tier", F.lit("")) == "cold")
     chunky = rc.isin("vocabulary_gap", "ranking_miss", "missing_context") & F.col("chunk_id").isNotNull() & ~cold
 
@@ -338,13 +336,13 @@ def propose_fixes(
                 doc_id=F.col("doc_id"),
                 chunk_id=F.col("chunk_id"),
                 aliases_add=F.array_join(user, ","),
-                context_append=F.coalesce(F.concat(F.lit("Answers questions like: "), "question"), F.lit("")),
+                context_append=F.coalesce(F.concat(F.lit("Asked about this: "), "question"), F.lit("")),
             ),
         ),
         option(
             chunky & (rc == "vocabulary_gap") & (F.col("n_traces") >= 2) & (F.size(user) > 0) & (F.size(docw) > 0),
             "add_alias",
-            params(phrases=F.array_join(F.slice(user, 1, 4), ","), expansions=F.array_join(F.slice(docw, 1, 5), ",")),
+            params(phrases=F.array_join(user, ","), expansions=F.array_join(docw, ",")),
         ),
         option(cold, "set_tier", params(doc_id=F.col("doc_id"), tier="warm")),
         option(
@@ -405,16 +403,17 @@ def worst_of_conflict(members: DataFrame, docs: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ evaluation of fixes
 
 
-def target_questions(traces_of: DataFrame, traces: DataFrame, n: int = MAX_TARGETS) -> DataFrame:
-    """Up to ``n`` distinct questions among the last ``2n`` traces of each diagnosis."""
-    last = Window.partitionBy(*_KEY).orderBy(F.col("seen_at").desc(), F.col("trace_id").desc())
-    recent = traces_of.withColumn("_nth", F.row_number().over(last)).where(F.col("_nth") <= 2 * n)
+def target_questions(traces_of: DataFrame, traces: DataFrame, n: int | None = None) -> DataFrame:
+    """The distinct questions of each diagnosis; with ``n`` that many at most, of its last ``2n`` traces."""
+    recent = traces_of
+    if n is not None:
+        last = Window.partitionBy(*_KEY).orderBy(F.col("seen_at").desc(), F.col("trace_id").desc())
+        recent = traces_of.withColumn("_nth", F.row_number().over(last)).where(F.col("_nth") <= 2 * n)
     asked = recent.join(traces.select("trace_id", F.col("query").alias("question")), "trace_id")
     first = asked.groupBy(*_KEY, "question").agg(F.min(F.struct("seen_at", "trace_id")).alias("at"))
-    order = Window.partitionBy(*_KEY).orderBy("at")
-    return (
-        first.withColumn("position", F.row_number().over(order)).where(F.col("position") <= n).drop("at")
-    )
+    order = Window.partitionBy(*_KEY).orderBy("at", "question")
+    placed = first.withColumn("position", F.row_number().over(order)).drop("at")
+    return placed if n is None else placed.where(F.col("position") <= n)
 
 
 def target_score() -> Column:
@@ -489,18 +488,13 @@ def healed_goldens(candidate_targets: DataFrame, golden: DataFrame, citations: D
     )
 
 
-def fix_queue(fixes: DataFrame, diagnoses: DataFrame, n: int = MAX_FIXES) -> DataFrame:
-    """The next ``n`` proposed fixes per base, heaviest diagnosis first."""
+def fix_queue(fixes: DataFrame, diagnoses: DataFrame, n: int | None = None) -> DataFrame:
+    """The proposed fixes of each base, heaviest diagnosis first; the next ``n`` if given."""
     impact = diagnoses.select("diagnosis_id", F.col("impact").alias("_impact"))
     w = Window.partitionBy("kb_id").orderBy(F.col("_impact").desc(), "created_at", "fix_id")
-    return (
-        fixes.where(F.col("status") == "proposed")
-        .join(impact, "diagnosis_id", "left")
-        .fillna(0.0, ["_impact"])
-        .withColumn("place", F.row_number().over(w))
-        .where(F.col("place") <= n)
-        .drop("_impact")
-    )
+    waiting = fixes.where(F.col("status") == "proposed").join(impact, "diagnosis_id", "left").fillna(0.0, ["_impact"])
+    placed = waiting.withColumn("place", F.row_number().over(w)).drop("_impact")
+    return placed if n is None else placed.where(F.col("place") <= n)
 
 
 def disposition() -> Column:
@@ -516,37 +510,65 @@ def disposition() -> Column:
     )
 
 
+def _edits(fixes: DataFrame) -> DataFrame:
+    """One row per fix and field it sets: doc_id, fix_id, field, value, applied_at."""
+    status = F.when(F.col("kind") == "quarantine_doc", "quarantined").when(F.col("kind") == "unquarantine_doc", "active")
+    sets = F.array(
+        F.struct(F.lit("status").alias("field"), status.alias("value")),
+        F.struct(F.lit("tier").alias("field"), F.when(F.col("kind") == "set_tier", F.col("tier")).alias("value")),
+    )
+    rows = fixes.select("doc_id", F.col("fix_id").cast("string").alias("fix_id"), "applied_at", F.inline(sets))
+    return rows.where(F.col("value").isNotNull())
+
+
+def _fields(docs: DataFrame) -> DataFrame:
+    pairs = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in ("status", "tier")])
+    return docs.select("doc_id", F.inline(pairs))
+
+
+def _with_latest(docs: DataFrame, edits: DataFrame) -> DataFrame:
+    """Documents whose status and tier are those of their latest edit, if they have one."""
+    at = F.struct("applied_at", "fix_id")
+    last = [F.max_by(F.when(F.col("field") == c, F.col("value")), F.when(F.col("field") == c, at)).alias(f"new_{c}") for c in ("status", "tier")]
+    out = docs.join(edits.groupBy("doc_id").agg(*last), "doc_id", "left")
+    for c in ("status", "tier"):
+        out = out.withColumn(c, F.coalesce(f"new_{c}", c))
+    return out.select(*docs.columns)
+
+
 def apply_document_fixes(docs: DataFrame, fixes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents after the applied tier and status fixes, and the edits that undo them.
+    """Documents after the applied tier and status fixes, and what undoes each of them.
 
-    ``fixes``: fix_id, kind, doc_id, tier, applied_at.  The latest edit of a document wins.
+    ``fixes``: fix_id, kind, doc_id, tier, applied_at.  Edits of one field of a document take
+    effect in the order of ``applied_at``.  The inverse has a row per fix and field: the value
+    set and ``before``, the value the field had just before that fix.
     """
-    kinds = fixes.where(F.col("kind").isin("set_tier", "quarantine_doc", "unquarantine_doc"))
-    status = F.when(F.col("kind") == "quarantine_doc", "quarantined").when(F.col("kind") == "unquarantine_doc", "active")
-    at = F.struct("applied_at", "fix_id")
-    edits = kinds.withColumn("_status", status).groupBy("doc_id").agg(
-        F.max_by("_status", F.when(F.col("_status").isNotNull(), at)).alias("new_status"),
-        F.max_by("tier", F.when(F.col("kind") == "set_tier", at)).alias("new_tier"),
-        F.max("fix_id").alias("fix_id"),
-    )
-    joined = docs.join(edits, "doc_id", "left")
-    inverse = joined.where(F.col("fix_id").isNotNull()).select("doc_id", "fix_id", "status", "tier")
-    after = (
-        joined.withColumn("status", F.coalesce("new_status", "status"))
-        .withColumn("tier", F.coalesce("new_tier", "tier"))
-        .select(*docs.columns)
-    )
-    return after, inverse
+    edits = _edits(fixes)
+    turn = Window.partitionBy("doc_id", "field").orderBy("applied_at", "fix_id")
+    known = edits.join(_fields(docs).withColumnRenamed("value", "was"), ["doc_id", "field"])
+    inverse = known.withColumn("before", F.coalesce(F.lag("value").over(turn), "was")).drop("was")
+    return _with_latest(docs, edits), inverse
 
 
-def roll_back_documents(docs: DataFrame, inverse: DataFrame) -> DataFrame:
-    old = inverse.select("doc_id", F.col("status").alias("old_status"), F.col("tier").alias("old_tier"))
-    out = docs.join(old, "doc_id", "left")
-    return (
-        out.withColumn("status", F.coalesce("old_status", "status"))
-        .withColumn("tier", F.coalesce("old_tier", "tier"))
-        .select(*docs.columns)
+def roll_back_documents(docs: DataFrame, inverse: DataFrame, undone: DataFrame | None = None) -> DataFrame:
+    """Documents without the fixes ``undone`` (fix_id; all, if None).
+
+    A field gets the value of its latest fix that stays, or had before its first one.  Fields that
+    no undone fix set, and later fixes that stay, are left as they are.
+    """
+    marked = inverse.withColumn("_gone", F.lit(True)) if undone is None else inverse.join(
+        undone.select(F.col("fix_id").cast("string").alias("fix_id")).distinct().withColumn("_gone", F.lit(True)), "fix_id", "left"
     )
+    at = F.struct("applied_at", "fix_id")
+    gone = F.coalesce("_gone", F.lit(False))
+    per = marked.groupBy("doc_id", "field").agg(
+        F.max_by(F.when(~gone, F.col("value")), F.when(~gone, at)).alias("stays"),
+        F.min_by("before", at).alias("first"),
+        F.max(at).alias("at"),
+        F.bool_or(gone).alias("any"),
+    )
+    edits = per.where("any").select("doc_id", "field", F.coalesce("stays", "first").alias("value"), F.col("at.applied_at"), F.col("at.fix_id"))
+    return _with_latest(docs, edits)
 
 
 def review_fixes(fixes: DataFrame, diagnoses: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:

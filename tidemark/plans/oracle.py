@@ -106,7 +106,7 @@ tf_v AS (SELECT chunk_id, allowed, escalated, term, count(*) AS tf FROM terms_v
          CASE WHEN negative_signal THEN 'correct answer ' || k ELSE '' END AS correction, created_at AS ts FROM traces_v)""",
     "citations_v": """citations_v AS (
   SELECT trace_id, doc_id, doc_id || '-0' AS chunk_id
-  FROM (SELECT trace_id, unnest([trace_id % 200, (trace_id + 7) % 200]) AS doc_id FROM traces_v))""",
+  FROM (SELECT trace_id, unnest([trace_id % (SELECT max(doc_id) + 1 FROM documents), (trace_id + 7) % (SELECT max(doc_id) + 1 FROM documents)]) AS doc_id FROM traces_v))""",
     "turns_v": """turns_v AS (
   SELECT conv_id AS session_id, turn, conv_id * 1000 + turn AS trace_id, text AS query,
          TIMESTAMP '2024-01-01' + to_minutes(turn) AS created_at

@@ -73,14 +73,14 @@ def _(t):
 _PLAN = f"""cut_v AS (SELECT query_id, query, list_filter(list_transform(regexp_split_to_array(
     regexp_replace(query, '(?i)\\band (?:also |then )?((?:what|how|which|who|when|where|why|is|are|does|do|can)\\b)', chr(1) || '\\1', 'g'), '[?;\\x01]'),
     lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(13))), lambda s: len({o.content_terms('s')}) >= 1) AS ps FROM q_v),
-plan_v AS (SELECT query_id, unnest(range(len(ps))) AS subq, unnest(ps) AS part FROM (SELECT query_id, (CASE WHEN len(ps) > 0 THEN ps ELSE [query] END)[1:5] AS ps FROM cut_v)),
+plan_v AS (SELECT query_id, unnest(range(len(ps))) AS subq, unnest(ps) AS part FROM (SELECT query_id, (CASE WHEN len(ps) > 0 THEN ps ELSE [query] END) AS ps FROM cut_v)),
 kw_v AS (SELECT query_id, subq, CASE WHEN part LIKE '%?' THEN part ELSE part || '?' END AS question,
    list_filter(regexp_extract_all(part, '[A-Za-z0-9][\\p{{L}}\\p{{N}}_\\-.]*'), lambda w: lower(w) NOT IN ({o.STOP}) AND length(w) > 2) AS kws FROM plan_v)"""
 
 
 @query(
     "f3_plan",
-    o.with_views("turns_v", f"{_Q}, {_PLAN} SELECT query_id, subq::BIGINT AS subq, question, array_to_string(kws[1:8], '|') AS keywords FROM kw_v"),
+    o.with_views("turns_v", f"{_Q}, {_PLAN} SELECT query_id, subq::BIGINT AS subq, question, array_to_string(kws, '|') AS keywords FROM kw_v"),
 )
 def _(t):
     p = answers.plan_questions(questions(t))
@@ -115,7 +115,7 @@ class Work:
         self.t = t
         self.chunks = t.masked_chunks()
         self.subqueries = t.parts()
-        hits = t.stored("few_hits", lambda: bm25_hits(t, self.subqueries, 4, "escalated"))
+        hits = t.stored("hits", lambda: bm25_hits(t, self.subqueries, 150, "escalated"))
         best = hits.groupBy("query_id", "chunk_id").agg(F.max("score").alias("final"))
         self.candidates = t.stored(
             "candidates", lambda: best.join(self.chunks.select("chunk_id", "doc_id", "text", "ord"), "chunk_id")
@@ -184,7 +184,7 @@ me_v AS (SELECT query_id, groundedness, contradiction, coverage, citation_accura
 
 
 def work_sql(rest: str) -> str:
-    return bm25_sql(_PARTS, 4, "escalated", _WORK + rest)
+    return bm25_sql(_PARTS, 150, "escalated", _WORK + rest)
 
 
 def long(c):
@@ -225,15 +225,12 @@ def _(t):
     "f9_whole_base",
     o.with_views(
         "masked_v",
-        """s AS (SELECT source_id, sum(token_count) AS tokens FROM masked_v m JOIN docs_v d USING (doc_id) GROUP BY 1)
-        SELECT source_id AS query_id, chunk_id FROM masked_v m JOIN docs_v d USING (doc_id) JOIN s USING (source_id) WHERE allowed AND tokens <= 200000""",
+        "SELECT source_id AS query_id, chunk_id FROM masked_v m JOIN docs_v d USING (doc_id) WHERE allowed",
     ),
 )
 def _(t):
     chunks = t.masked_chunks().drop("kb_id").join(t.docs().select("doc_id", F.col("source_id").alias("kb_id")), "doc_id")
-    asked = answers.base_tokens(chunks).select(
-        F.col("kb_id").alias("query_id"), "kb_id", F.when(F.col("kb_tokens") <= 200000, "long_context").otherwise("standard").alias("route")
-    )
+    asked = chunks.select(F.col("kb_id").alias("query_id"), "kb_id", F.lit("long_context").alias("route")).distinct()
     parts = asked.select("query_id", F.lit(0).alias("subq"))
     return answers.whole_base_evidence(asked, chunks, parts).select("query_id", "chunk_id")
 
@@ -304,7 +301,7 @@ def _(t):
       x AS (SELECT u.query_id, u.cited AS chunk_id, se.text AS said, m.text FROM u JOIN se_v se USING (query_id, sentence) JOIN masked_v m ON m.chunk_id = u.cited),
       y AS (SELECT query_id, chunk_id, {o.content_terms('said')} AS a, unnest(ss) AS s, unnest(range(len(ss))) AS i FROM (SELECT *, {o.sentences('text')} AS ss FROM x)),
       z AS (SELECT *, {o.content_terms('s')} AS b FROM y)
-      SELECT query_id, chunk_id, left(s, 300) AS cited_text FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY {o.overlap('a', 'b')} DESC, i) AS nth FROM z) WHERE nth = 1"""),
+      SELECT query_id, chunk_id, s AS cited_text FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY {o.overlap('a', 'b')} DESC, i) AS nth FROM z) WHERE nth = 1"""),
 )
 def _(t):
     w = Work(t)
@@ -374,7 +371,7 @@ def _(t):
         "traces_v",
         """g AS (SELECT user_id AS parent_id, trace_id, unnest([query, kb_id]) AS question, unnest([0, 1]) AS pos FROM traces_v WHERE status <> 'verified'),
         f AS (SELECT parent_id, question, min(trace_id * 2 + pos) AS ord FROM g WHERE (parent_id, question) NOT IN (SELECT user_id, query FROM traces_v WHERE status = 'verified') GROUP BY 1, 2)
-        SELECT parent_id, question, position FROM (SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY ord) AS position FROM f) WHERE position <= 4""",
+        SELECT parent_id, question, position FROM (SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY ord) AS position FROM f)""",
     ),
 )
 def _(t):
@@ -419,12 +416,12 @@ def _(t):
     work_sql(f""", qs AS (SELECT b.item_id AS query_id, {o.content_terms("b.text || ' ' || coalesce(string_agg(s.text, ' ' ORDER BY sentence), '')")} AS a
          FROM benchmark b LEFT JOIN se_v s ON s.query_id = b.item_id GROUP BY b.item_id, b.text),
       r AS (SELECT c.query_id, c.chunk_id, row_number() OVER (PARTITION BY c.query_id ORDER BY round({o.overlap('a', 'ct')}, 6) DESC, chunk_id) AS nth FROM ct_v c JOIN qs USING (query_id))
-      SELECT query_id, chunk_id FROM r WHERE nth <= 3 OR (query_id, chunk_id) IN (SELECT query_id, cited FROM se_v WHERE cited IS NOT NULL)"""),
+      SELECT query_id, chunk_id FROM r WHERE nth <= 20 OR (query_id, chunk_id) IN (SELECT query_id, cited FROM se_v WHERE cited IS NOT NULL)"""),
 )
 def _(t):
     w = Work(t)
     asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return answers.nearest_for_check(w.candidates, w.sentences(), asked, 3).select("query_id", "chunk_id")
+    return answers.nearest_for_check(w.candidates, w.sentences(), asked).select("query_id", "chunk_id")
 
 
 @query(

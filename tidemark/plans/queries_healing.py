@@ -29,13 +29,13 @@ def _planned(t):
 def _(t):
     base, asked = _base(t), _planned(t)
     graded, pool = q.first_pass(asked, base)
-    healed = q.heal_retrieval(asked, graded, pool, base, rounds=2)
+    healed = q.heal_retrieval(asked, graded, pool, base)
     return healed.graded.select("query_id", "chunk_id", "verdict", "origin")
 
 
 @query("f26_heal_answers")
 def _(t):
-    answer, _, _ = q.answer_questions(_planned(t), _base(t), rounds=1)
+    answer, _, _ = q.answer_questions(_planned(t), _base(t))
     return answer.metrics
 
 
@@ -48,5 +48,5 @@ def _(t):
         F.lit("golden").alias("kind"),
         F.array().cast("array<string>").alias("expected_doc_ids"),
     )
-    done = q.run_items(items, _planned(t), _base(t), rounds=1)
+    done = q.run_items(items, _planned(t), _base(t))
     return done.select("item_id", "status", "groundedness", "coverage", "overall", "passed", "healed")

@@ -64,7 +64,7 @@ def _(t):
         "traces_v",
         f"""SELECT session_id, arg_min(query, created_at) AS title, {o.stamp('min(created_at)')} AS started_at,
         {o.stamp('max(created_at)')} AS updated_at, count(*) AS messages FROM traces_v WHERE NOT is_eval
-        GROUP BY 1 ORDER BY max(created_at) DESC, session_id LIMIT 100""",
+        GROUP BY 1 """,
     ),
 )
 def _(t):

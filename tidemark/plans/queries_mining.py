@@ -16,13 +16,13 @@ ORIGINS = ("web", "rewrite", "widen", "neighbor", "exact", "cold")
 class Log:
     """Child tables of the trace log that the rules read."""
 
-    def __init__(self, t, limit=mining.MAX_PER_CYCLE):
+    def __init__(self, t):
         self.t = t
         self.traces = t.traces().withColumn("diagnosed", mining.initially_diagnosed())
-        self.mined = mining.mine_failures(self.traces, limit)
+        self.mined = mining.mine_failures(self.traces)
         names = F.array(*[F.lit(x) for x in ORIGINS])
         origin = F.get(names, F.pmod(F.floor(F.col("k") / 5), F.lit(6)).cast("int"))
-        doc = F.pmod("trace_id", F.lit(200))
+        doc = F.pmod("trace_id", F.lit(t.n_docs()))
         self.rescues = self.traces.where("healed").select(
             "trace_id",
             F.lit(0).alias("subq"),
@@ -76,13 +76,12 @@ class Log:
         )
 
 
-_MINED = """mined_v AS (SELECT * FROM (SELECT *, CASE WHEN status IN ('failed', 'partial') OR negative_signal THEN 1.0::DOUBLE ELSE 0.5 END AS severity,
-   row_number() OVER (PARTITION BY kb_id ORDER BY created_at, trace_id) AS nth FROM traces_v
+_MINED = """mined_v AS (SELECT *, CASE WHEN status IN ('failed', 'partial') OR negative_signal THEN 1.0::DOUBLE ELSE 0.5 END AS severity FROM traces_v
    WHERE NOT is_eval AND NOT (status IN ('verified', 'direct', 'escalated') AND NOT healed)
-     AND (status IN ('failed', 'partial') OR negative_signal OR healed)) WHERE nth <= 200)"""
+     AND (status IN ('failed', 'partial') OR negative_signal OR healed))"""
 _RAW = o.q(o.fixed.RAW_WORD)
 _RESCUE = f""",
-rescues_v AS (SELECT trace_id, kb_id, severity, created_at, query AS question, trace_id % 200 AS doc_id, (trace_id % 200) || '-0' AS chunk_id,
+rescues_v AS (SELECT trace_id, kb_id, severity, created_at, query AS question, trace_id % (SELECT max(doc_id) + 1 FROM documents) AS doc_id, (trace_id % (SELECT max(doc_id) + 1 FROM documents)) || '-0' AS chunk_id,
    ['web', 'rewrite', 'widen', 'neighbor', 'exact', 'cold'][(k // 5) % 6 + 1] AS origin FROM mined_v WHERE healed),
 rw_v AS (SELECT r.*, d.status AS ds, d.tier AS dt, {o.tokens('c.text')} AS have,
    list_filter(regexp_extract_all(lower(r.question), {_RAW}), lambda w: w NOT IN ({o.STOP}) AND length(w) > 2) AS asked,
@@ -265,9 +264,8 @@ def _(t):
 @query(
     "i14_target_questions",
     mined_sql(
-        """, l AS (SELECT *, row_number() OVER (PARTITION BY kb_id, root_cause, target ORDER BY seen_at DESC, trace_id DESC) AS nth FROM dt_v),
-        a AS (SELECT l.kb_id, l.root_cause, l.target, t.query AS question, min(seen_at) AS first_at FROM l JOIN traces_v t USING (trace_id) WHERE nth <= 16 GROUP BY 1, 2, 3, 4)
-        SELECT * EXCLUDE (first_at) FROM (SELECT *, row_number() OVER (PARTITION BY kb_id, root_cause, target ORDER BY first_at) AS position FROM a) WHERE position <= 8""",
+        """, a AS (SELECT l.kb_id, l.root_cause, l.target, t.query AS question, min({'s': seen_at, 't': trace_id}) AS first_at FROM dt_v l JOIN traces_v t USING (trace_id) GROUP BY 1, 2, 3, 4)
+        SELECT * EXCLUDE (first_at) FROM (SELECT *, row_number() OVER (PARTITION BY kb_id, root_cause, target ORDER BY first_at, question) AS position FROM a)""",
         True,
     ),
 )
@@ -368,7 +366,7 @@ def _(t):
     o.with_views(
         "traces_v diagnoses_v",
         """SELECT kb_id, fix_id, place FROM (SELECT f.kb_id, fix_id, row_number() OVER (PARTITION BY f.kb_id ORDER BY impact DESC, f.created_at, fix_id) AS place
-        FROM fixes_v f JOIN diagnoses_v d USING (diagnosis_id) WHERE f.status = 'proposed') WHERE place <= 5""",
+        FROM fixes_v f JOIN diagnoses_v d USING (diagnosis_id) WHERE f.status = 'proposed')""",
     ),
 )
 def _(t):

@@ -94,7 +94,7 @@ def _(t):
     ),
 )
 def _(t):
-    ids = [F.concat(F.pmod(F.col("trace_id") + n, F.lit(200)).cast("string"), F.lit("-0")) for n in (0, 7)]
+    ids = [F.concat(F.pmod(F.col("trace_id") + n, F.lit(t.n_docs())).cast("string"), F.lit("-0")) for n in (0, 7)]
     rows = streamed(t).feedback().withColumn("chunk_ids", F.array(*ids))
     out = run(t, jobs.chunk_helpfulness(rows), ["chunk_id"])
     return out.select("chunk_id", F.round("good", 4).alias("good"), F.round("bad", 4).alias("bad"))

@@ -206,12 +206,16 @@ class Tables:
             F.col("created_at").alias("ts"),
         )
 
+    def n_docs(self) -> int:
+        """One more than the largest document number."""
+        return self.documents.agg(F.max("doc_id")).first()[0] + 1
+
     def citations(self) -> DataFrame:
-        """Two cited chunks and their documents per trace."""
-        t = self.traces()
+        """Two cited chunks and their documents per trace, over all documents."""
+        t, n = self.traces(), F.lit(self.n_docs())
         return t.select(
             "trace_id",
-            F.explode(F.array(F.pmod("trace_id", F.lit(200)), F.pmod(F.col("trace_id") + 7, F.lit(200)))).alias("doc_id"),
+            F.explode(F.array(F.pmod("trace_id", n), F.pmod(F.col("trace_id") + 7, n))).alias("doc_id"),
         ).withColumn("chunk_id", F.concat(F.col("doc_id").cast("string"), F.lit("-0")))
 
     def turns(self) -> DataFrame:
