@@ -7,7 +7,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -216,9 +215,9 @@ def draft(evidence: DataFrame, subqueries: DataFrame, avoid: DataFrame | None =
     """Extractive answers: per sub-question up to two unused sentences that fit.
 
     ``evidence``: query_id, chunk_id, place, text (see :func:`evidence_text`).  Returns
-    kind ``sentence`` or ``unanswered`` with position, text, chunk_id and subq.  A
-    sentence used for one sub-question is not used again, so the last step walks a
-    question's short list in order; ``generate_k`` bounds it.
+    kind ``sentence`` or ``unanswered`` with position, text, chunk_id and subq.  Every
+    sub-question ranks the sentences that cover a third of it; a fold over a question's
+    sub-questions then takes the first ones not taken before.  ``generate_k`` bounds the lists.
     """
     sents = F.transform(
         text.sentences(F.col("text")),
@@ -230,36 +229,30 @@ def draft(evidence: DataFrame, subqueries: DataFrame, avoid: DataFrame | None =
     if avoid is not None:
         banned = avoid.select("query_id", F.lower(F.trim("claim")).alias("_key")).distinct()
         ev = ev.withColumn("_key", F.lower(F.trim("s"))).join(banned, ["query_id", "_key"], "left_anti").drop("_key")
-    asked = subqueries.select("query_id", "subq", "question", text.content_terms(F.col("question")).alias("terms"))
-    kinds = dict(evidence.dtypes)
-    schema = (
-        f"query_id {kinds['query_id']}, kind string, position int, text string, "
-        f"chunk_id {kinds['chunk_id']}, subq int"
-    )
-    return asked.groupBy("query_id").cogroup(ev.groupBy("query_id")).applyInPandas(_pick_sentences, schema)
-
-
-def _pick_sentences(asked: pd.DataFrame, ev: pd.DataFrame) -> pd.DataFrame:
-    rows: list[tuple] = []
-    used: set[str] = set()
-    ev = ev.sort_values(["place", "i"], kind="stable")
-    pool = [(r.s, r.chunk_id, set(r.terms)) for r in ev.itertuples(index=False)]
-    for part in asked.sort_values("subq").itertuples(index=False):
-        wanted = set(part.terms)
-        share = [len(wanted & terms) / len(wanted) if wanted else 0.0 for _, _, terms in pool]
-        order = sorted(range(len(pool)), key=lambda i: -share[i])
-        taken = 0
-        for i in order:
-            if share[i] < 0.34 or taken == 2:
-                break
-            sentence, chunk, _ = pool[i]
-            if sentence not in used:
-                used.add(sentence)
-                rows.append((part.query_id, "sentence", len(used) - 1, sentence, chunk, part.subq))
-                taken += 1
-        if not taken:
-            rows.append((part.query_id, "unanswered", part.subq, part.question, None, part.subq))
-    return pd.DataFrame(rows, columns=["query_id", "kind", "position", "text", "chunk_id", "subq"])
+    asked = subqueries.select("query_id", "subq", "question", text.content_terms(F.col("question")).alias("wanted"))
+    fitting = ev.join(asked, "query_id").withColumn("lack", -text.overlap(F.col("wanted"), F.col("terms"))).where("lack <= -0.34")
+    # equal sentences count once, where they stand first
+    each = fitting.groupBy("query_id", "subq", "s").agg(F.min(F.struct("lack", "place", "i", "chunk_id")).alias("at"))
+    ranked = each.groupBy("query_id", "subq").agg(F.sort_array(F.collect_list(F.struct("at", "s"))).alias("ranked"))
+    parts = asked.join(ranked, ["query_id", "subq"], "left").groupBy("query_id").agg(
+        F.sort_array(F.collect_list(F.struct("subq", "question", F.transform("ranked", lambda r: F.struct(r["s"].alias("s"), r["at"]["chunk_id"].alias("chunk_id"))).alias("ranked")))).alias("parts")
+    )
+    chunk, subq = dict(evidence.dtypes)["chunk_id"], dict(subqueries.dtypes)["subq"]
+    line = f"struct<kind:string,position:int,text:string,chunk_id:{chunk},subq:{subq}>"
+    row = lambda *v: F.struct(*[c.alias(n) for c, n in zip(v, ("kind", "position", "text", "chunk_id", "subq"), strict=True)]).cast(line)
+
+    def answer(done: Column, part: Column) -> Column:
+        free = F.filter(F.coalesce(part["ranked"], F.array().cast(f"array<struct<s:string,chunk_id:{chunk}>>")), lambda c: ~F.array_contains(done["used"], c["s"]))
+        taken = F.slice(free, 1, 2)
+        said = F.transform(taken, lambda c, j: row(F.lit("sentence"), F.size(done["used"]) + j, c["s"], c["chunk_id"], part["subq"]))
+        none = F.array(row(F.lit("unanswered"), part["subq"], part["question"], F.lit(None), part["subq"]))
+        return F.struct(
+            F.concat(done["used"], F.transform(taken, lambda c: c["s"])).alias("used"),
+            F.concat(done["lines"], F.when(F.size(taken) == 0, none).otherwise(said)).alias("lines"),
+        )
+
+    start = F.struct(F.array().cast("array<string>").alias("used"), F.array().cast(f"array<{line}>").alias("lines"))
+    return parts.select("query_id", F.inline(F.aggregate("parts", start, answer, lambda done: done["lines"])))
 
 
 def draft_sentences(drafts: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def local_session(name: str = "tidemark", cores: str = "*", partitions: int = 8) -> SparkSession:
+def local_session(name: str = "tidemark", cores: str = "*", partitions: int = 8, folder: str | None = None) -> SparkSession:
     """A session for tests and the benchmark; a cluster brings its own."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
@@ -26,24 +25,29 @@ def local_session(name: str = "tidemark", cores: str = "*", partitions: int = 8)
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.checkpoint.dir", folder or tempfile.mkdtemp(prefix="run-", dir="/tmp"))
         .getOrCreate()
     )
 
 
+_OWN_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder named by the session.
 
-    A cluster sets ``spark.checkpoint.dir`` to storage every executor can read.  Only a
-    local session without that setting gets a temporary folder.
+    A cluster sets ``spark.checkpoint.dir`` to storage every executor can read.  A session on
+    one machine that sets nothing gets a folder of its own; elsewhere a missing setting is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = os.environ.get("TIDEMARK_TEST_CHECKPOINTS") or tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    os.environ["TIDEMARK_TEST_CHECKPOINTS"] = folder
-    return folder
+    own = spark.sparkContext.applicationId
+    if own not in _OWN_FOLDERS:
+        _OWN_FOLDERS[own] = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    return _OWN_FOLDERS[own]
 
 
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
