@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from .ordered import running_total_by_bucket
+
+STRETCHES = 1000
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -66,14 +69,16 @@ def means(traces: DataFrame) -> DataFrame:
 def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Percentiles by position ``round_half_even(p * (n - 1))`` of the sorted values.
 
-    Rows are first counted per distinct value, so the ordered step sees one row per
-    distinct value of a group rather than the group.
+    Rows are first counted per distinct value.  A group's values are then cut into ``STRETCHES``
+    equal stretches between its least and largest one: running counts are taken within a
+    stretch, and one row per stretch carries them on, so no task sorts a whole group.
     """
     keys = list(keys)
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    placed = counts.withColumn("_upto", F.sum("_n").over(upto)).join(totals, keys)
+    known = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"), F.min(value).alias("_low"), F.max(value).alias("_high"))
+    share = (F.col(value) - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0))
+    stretch = F.coalesce(F.floor(share * STRETCHES), F.lit(0))
+    placed = running_total_by_bucket(counts.join(known, keys), keys, [value], stretch, "_n", "_upto")
     picks = [
         F.min(F.when(F.col("_upto") > F.bround(F.lit(p) * (F.col("_total") - 1)), F.col(value))).alias(name)
         for name, p in shares.items()
@@ -187,11 +192,10 @@ def effective_limits(users: DataFrame, plans: DataFrame, default_plan: str = "fr
     ``plans``: plan, daily_questions, per_minute, deep_per_day.  0 means unlimited.
     """
     limits = ["daily_questions", "per_minute", "deep_per_day"]
-    fallback = plans.where(F.col("plan") == default_plan).select(*[F.col(c).alias(f"d_{c}") for c in limits])
-    known = users.join(plans.select("plan", *limits), "plan", "left").join(fallback, how="left")
-    out = known
+    default = plans.where(F.col("plan") == default_plan).select(*limits).first()  # one row by its key
+    out = users.join(plans.select("plan", *limits), "plan", "left")
     for c in limits:
-        out = out.withColumn(c, F.coalesce(F.col(c), F.col(f"d_{c}"))).drop(f"d_{c}")
+        out = out.withColumn(c, F.coalesce(c, F.lit(default[c] if default else None)))
     return out.withColumn("daily_questions", F.coalesce("daily_limit_override", "daily_questions"))
 
 

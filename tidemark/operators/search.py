@@ -89,21 +89,31 @@ def _counted_words(chunks: DataFrame) -> Column:
     return F.filter(text.words(index_text(chunks)), lambda w: ~text.is_stop_word(w))
 
 
+def tokenised(chunks: DataFrame) -> DataFrame:
+    """Chunks as the keyword index sees them: keys, mask columns, words and their number.
+
+    Stored once, it serves :func:`postings` and :func:`chunk_lengths` without a second look at the texts.
+    """
+    masks = [c for c in ("allowed", "escalated") if c in chunks.columns]
+    return chunks.select("kb_id", "chunk_id", *masks, _counted_words(chunks).alias("words")).withColumn("doc_len", F.size("words"))
+
+
 def chunk_lengths(chunks: DataFrame) -> DataFrame:
     """Tokens per chunk.  Stemming does not change a count, so it is left out."""
-    return chunks.withColumn("doc_len", F.size(_counted_words(chunks)))
+    return chunks if "doc_len" in chunks.columns else chunks.withColumn("doc_len", F.size(_counted_words(chunks)))
 
 
 def postings(chunks: DataFrame, only_terms: DataFrame | None = None) -> DataFrame:
     """Term frequencies per chunk; with ``only_terms`` just for the terms asked about.
 
     The filter by term runs before the shuffle, so an ad-hoc search moves only the
-    postings it needs.  ``chunks`` may carry mask columns, which are kept.
+    postings it needs.  ``chunks`` may carry mask columns, which are kept; it may also be
+    :func:`tokenised`.
     """
     masks = [c for c in ("allowed", "escalated") if c in chunks.columns]
+    words = chunks if "words" in chunks.columns else tokenised(chunks)
     exploded = (
-        chunks.withColumn("_words", _counted_words(chunks))
-        .select("kb_id", "chunk_id", *masks, F.size("_words").alias("doc_len"), F.explode("_words").alias("_w"))
+        words.select("kb_id", "chunk_id", *masks, "doc_len", F.explode("words").alias("_w"))
         .withColumn("term", text.stem(F.col("_w")))
         .drop("_w")
     )
@@ -115,19 +125,6 @@ def postings(chunks: DataFrame, only_terms: DataFrame | None = None) -> DataFram
     )
 
 
-def write_postings(df: DataFrame, path: str, files: int = 64) -> None:
-    """Store postings so that searches prune to the buckets of their terms."""
-    bucket = F.pmod(F.xxhash64("kb_id", "term"), F.lit(files)).cast("int")
-    (
-        df.withColumn("term_bucket", bucket)
-        .repartition(files, "term_bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(8)))
-        .sortWithinPartitions("term_bucket", "kb_id", "term")
-        .write.mode("overwrite")
-        .partitionBy("term_bucket")
-        .parquet(path)
-    )
-
-
 def query_terms(subqueries: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """Weighted terms per sub-question: its own at 1.0, alias expansions at 0.7.
 

@@ -124,14 +124,13 @@ def _(t):
     "l8_by_impact",
     o.with_views(
         "traces_v diagnoses_v",
-        """SELECT diagnosis_id, root_cause, round(impact, 2) AS impact, status, row_number() OVER (ORDER BY impact DESC, diagnosis_id) AS place
+        """SELECT diagnosis_id, root_cause, round(impact, 2) AS impact, status
         FROM diagnoses_v WHERE status IN ('open', 'fixing', 'needs_human')""",
     ),
 )
 def _(t):
     listed = listings.by_impact(t.diagnoses(), ["open", "fixing", "needs_human"])
-    place = F.expr("row_number() over (order by impact desc, diagnosis_id)").cast("long")
-    return listed.select("diagnosis_id", "root_cause", F.round("impact", 2).alias("impact"), "status", place.alias("place"))
+    return listed.select("diagnosis_id", "root_cause", F.round("impact", 2).alias("impact"), "status")
 
 
 @query(

@@ -106,6 +106,29 @@ def _(t):
     return evaluation.canary_decision(jobs.totals_to_stats(totals), 2, 1, age_days=10)
 
 
+_SESSIONS = o.with_views(
+    "traces_v",
+    f"""x AS (SELECT *, CASE WHEN created_at - lag(created_at) OVER (PARTITION BY kb_id, user_id ORDER BY created_at) <= INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM traces_v),
+        s AS (SELECT *, sum(fresh) OVER (PARTITION BY kb_id, user_id ORDER BY created_at) AS nth FROM x)
+    SELECT kb_id, user_id, {o.stamp('min(created_at)')} AS started_at, {o.stamp('max(created_at)')} AS last_at, count(*) AS n,
+      count(*) FILTER (status = 'verified') AS verified FROM s GROUP BY kb_id, user_id, nth""",
+)
+
+
+def _stamped(df):
+    return df.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("started_at", "last_at")})
+
+
+@query("k7_sessions", _SESSIONS)
+def _(t):
+    return _stamped(jobs.sessions(t.traces(), "12 hours"))
+
+
+@query("k7_session_stream", _SESSIONS)
+def _(t):
+    return _stamped(run(t, jobs.sessions(streamed(t).traces(), "12 hours", "1 day"), ["kb_id", "user_id", "started_at"], "complete"))
+
+
 @query("m1_plugged_embedder")
 def _(t):
     def letters(texts):

@@ -4,6 +4,7 @@
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -93,6 +94,19 @@ def totals_to_stats(totals: DataFrame) -> DataFrame:
     return totals.select("config_version", "n", *shares)
 
 
+def sessions(traces: DataFrame, gap: str = "30 minutes", late: str | None = None) -> DataFrame:
+    """Questions of a user between pauses of ``gap``: begin, last question, count and verified ones.
+
+    Batch or stream; a stream names how late rows may come, and drops those behind that.
+    """
+    rows = traces if late is None else traces.withWatermark("created_at", late)
+    span = F.session_window("created_at", gap)
+    grouped = rows.groupBy(span, "kb_id", "user_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max("created_at").alias("last_at"), F.count_if(F.col("status") == "verified").alias("verified")
+    )
+    return grouped.select("kb_id", "user_id", F.col("session_window.start").alias("started_at"), "last_at", "n", "verified")
+
+
 # ------------------------------------------------------------------ request rates
 
 
@@ -121,18 +135,23 @@ def _by_time(pdfs: Iterator[pd.DataFrame], *order: str) -> pd.DataFrame:
 
 
 def rate_stream(requests: DataFrame, seconds: int = 60) -> DataFrame:
-    """Streaming form of :func:`rates_in_window`: state is the recent times of a key."""
+    """Streaming form of :func:`rates_in_window`: state is the recent times of a key, in order.
+
+    A row counts the times up to its own.  Rows behind the watermark are dropped; a row that
+    comes after a later one of its key was counted does not change that one's count.
+    """
 
     def count(key, pdfs, state: GroupState):
         if state.hasTimedOut:
             state.remove()
             return
         recent = list(state.get[0]) if state.exists else []
-        rows = _by_time(pdfs, "at", "request_id")
         out = []
-        for r in rows.itertuples(index=False):
-            recent = [t for t in recent if r.at - t <= seconds] + [r.at]
-            out.append((key[0], r.request_id, len(recent)))
+        for pdf in pdfs:
+            for r in pdf.sort_values(["at", "request_id"], kind="stable").itertuples(index=False):
+                insort(recent, r.at)
+                out.append((key[0], r.request_id, bisect_right(recent, r.at) - bisect_left(recent, r.at - seconds)))
+            del recent[: bisect_left(recent, recent[-1] - 2 * seconds)]  # rows late by up to the watermark still find theirs
         state.update((recent,))
         state.setTimeoutTimestamp(max(int(recent[-1] * 1000) + seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["key", "request_id", "n_recent"])
@@ -157,7 +176,8 @@ def rephrase_stream(
 ) -> DataFrame:
     """Streaming rephrase detection: state is the session's last question.
 
-    Within a trigger questions are taken in event order; an idle session's state expires.
+    Within a trigger questions are taken in event order; an idle session's state expires, and
+    rows behind the watermark are dropped.
     """
 
     def detect(key, pdfs, state: GroupState):
