@@ -46,10 +46,10 @@ class ChunkTable:
 
     def put(self, h: np.ndarray, slots: np.ndarray) -> None:
         """Enter distinct unknown hashes."""
-        if 3 * (self.count + len(h)) > len(self.keys):
+        if 5 * (self.count + len(h)) > 3 * len(self.keys):
             old = np.flatnonzero(self.keys)
             h, slots = np.r_[self.keys[old], h], np.r_[self.slots[old], slots]
-            size = 1 << int(6 * (self.count + len(h))).bit_length()
+            size = 1 << int(2 * len(h)).bit_length()
             self.keys, self.slots = np.zeros(size, np.uint64), np.zeros(size, np.int32)
         mask = np.uint64(len(self.keys) - 1)
         at = h & mask

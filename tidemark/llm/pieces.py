@@ -129,7 +129,7 @@ class Pieces:
         out: list = [None] * len(words)
         for size in np.unique(sizes):
             some = np.flatnonzero(sizes == size)
-            step = max(1, (1 << 19) // int(size))
+            step = max(1, (1 << 17) // int(size))
             for i in range(0, len(some), step):
                 part = some[i : i + step].tolist()
                 for k, found in zip(part, self.viterbi([words[j] for j in part]), strict=True):
@@ -173,7 +173,7 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", scores: str | No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Pieces(model, scores)
-        known = ChunkTable(table.learn)
+        known = ChunkTable(table.learn, 1_000_000)
         for batch in batches:
             led = batch[batch.num_columns - 1]
             if not table.identity:
@@ -197,8 +197,8 @@ def decode(rows: DataFrame, model: str, ids_col: str = "ids", out_col: str = "de
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Pieces(model)
         for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                some = batch.slice(low, 512)
+            for low in range(0, batch.num_rows, 64):
+                some = batch.slice(low, 64)
                 lists = some[ids_col].cast(pa.large_list(pa.int32()))
                 counts = np.array([0 if x is None else x for x in pa.compute.list_value_length(lists).to_pylist()], np.int64)
                 ids = lists.flatten().to_numpy(zero_copy_only=False)
