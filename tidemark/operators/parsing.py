@@ -310,7 +310,7 @@ def document_text(blocks: Column) -> Column:
 def chunk_documents(parsed: DataFrame, strategy: ChunkStrategy = DEFAULT_STRATEGY) -> DataFrame:
     """Chunks with their document's columns, aliases from its acronyms, and flags."""
     good = parsed.where(F.col("parse_error").isNull()) if "parse_error" in parsed.columns else parsed
-    keep = [c for c in ("kb_id", "doc_id", "title") if c in good.columns]
+    keep = [c for c in ("kb_id", "doc_id", "title", "version") if c in good.columns]
     paired = good.withColumn("_pairs", acronyms(document_text(F.col("blocks"))))
     rows = pack_chunks(paired, [*keep, "_pairs"], strategy)
     return rows.withColumn("aliases", chunk_aliases(F.col("text"), F.col("_pairs"))).withColumn(

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 from ..operators import corpus, parsing
+from ..session import shared_folder
 from ..sources import files
 from . import oracle as o
 from .catalog import query
@@ -29,19 +32,28 @@ def _(t):
     return _pages(t).select("page_id", "name", "mime")
 
 
-@query("a1_list_files")
+def _text_files(t):
+    """All documents written as text files; returns their folder."""
+    path = f"{shared_folder(t.spark).rstrip('/')}/texts-{uuid.uuid4().hex}"
+    t.documents.select("text").write.text(path)
+    return path
+
+
+@query("a1_list_files", "SELECT sum(strlen(text) + 1)::BIGINT AS bytes, 'text/plain' AS mime FROM documents")
 def _(t):
-    listed = files.list_files(t.spark, t.folder)
-    every = t.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(t.folder)
-    seen = every.select(files.file_name(F.col("path")).alias("name"), "length", F.lit(False).alias("supported"))
-    return seen.unionByName(listed.select("name", "length", F.lit(True).alias("supported")))
+    listed = files.list_files(t.spark, _text_files(t))
+    return listed.groupBy("mime").agg(F.sum("length").alias("bytes"))
 
 
-@query("a2_size_cap")
+@query("a2_size_cap", "SELECT sum(strlen(text) + 1)::BIGINT AS bytes, true AS listed_unread, true AS others_whole FROM documents")
 def _(t):
-    every = t.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(t.folder)
-    over = F.col("length") > fixed.MAX_FILE_BYTES
-    return every.select(files.file_name(F.col("path")).alias("name"), F.when(over, "file too large (>50MB)").alias("error"))
+    listed = files.list_files(t.spark, _text_files(t), max_bytes=100_000)
+    over = F.col("length") > 100_000
+    return listed.agg(
+        F.sum("length").alias("bytes"),
+        F.bool_and(~over | (F.col("error").isNotNull() & F.col("content").isNull())).alias("listed_unread"),
+        F.bool_and(over | (F.col("error").isNull() & (F.octet_length("content") == F.col("length")))).alias("others_whole"),
+    )
 
 
 def _as_files(t):

@@ -15,7 +15,7 @@ def file_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
-def list_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
+def list_files(spark: SparkSession, path: str, recursive: bool = True, max_bytes: int = fixed.MAX_FILE_BYTES) -> DataFrame:
     """Supported files under a path: uri, name, mime, length, modified_at, error, content.
 
     Content is only read for rows that are kept, and the size test is pushed to the scan,
@@ -33,10 +33,10 @@ def list_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFr
         "length",
         F.col("modificationTime").alias("modified_at"),
     ]
-    fits = files.where((F.col("length") <= fixed.MAX_FILE_BYTES) & wanted)
-    large = files.where((F.col("length") > fixed.MAX_FILE_BYTES) & wanted)
+    fits = files.where((F.col("length") <= max_bytes) & wanted)
+    large = files.where((F.col("length") > max_bytes) & wanted)
     return fits.select(*shape, F.lit(None).cast("string").alias("error"), "content").unionByName(
-        large.select(*shape, F.lit("file too large (>50MB)").alias("error"), F.lit(None).cast("binary").alias("content"))
+        large.select(*shape, F.lit(f"file larger than {max_bytes} bytes").alias("error"), F.lit(None).cast("binary").alias("content"))
     )
 
 

@@ -14,7 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import fixed, text
 from ..operators import corpus, parsing, signals
-from ..session import shared_folder
+from ..session import cut_lineage, shared_folder
 
 
 def run_now(stream: DataFrame, write: Callable[[DataFrame, int], None], mode: str = "update", checkpoint: str | None = None) -> None:
@@ -267,11 +267,12 @@ class CorpusLog:
         parsed = parsing.parse_documents(
             todo.withColumn("doc_id", F.coalesce("doc_id", new_id)).withColumn("version", F.coalesce("version", F.lit(0)) + 1)
         )
+        parsed = cut_lineage(parsed, "parsed")  # documents and chunks both come from it
         docs = parsed.select(
             "kb_id", "uri", "doc_id", "version", "content_hash", "title", "mime",
             F.when(F.col("parse_error").isNull(), "active").otherwise("error").alias("status"),
             F.col("parse_error").alias("error"),
         )
-        chunks = parsing.chunk_documents(parsed).join(docs.select("doc_id", F.col("version").alias("doc_version")), "doc_id")
+        chunks = parsing.chunk_documents(parsed).withColumnRenamed("version", "doc_version")
         docs.write.mode("overwrite").parquet(f"{self.root}/documents/batch={batch_id}")
         chunks.write.mode("overwrite").parquet(f"{self.root}/chunks/batch={batch_id}")
