@@ -212,7 +212,10 @@ def _(t):
     return parsing.flagged_per_document(t.marked_chunks())
 
 
-@query("b17_reembed")
+@query(
+    "b17_reembed",
+    o.with_views("chunks_v", "SELECT chunk_id, 'hash:hash-64' AS embedding_model, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 64 END AS dims FROM chunks_v"),
+)
 def _(t):
     old = t.chunks().withColumn("embedding", F.array(F.lit(1.0)).cast("array<float>")).withColumn(
         "embedding_model", F.when(F.pmod("doc_id", F.lit(2)) == 0, "hash:hash-64").otherwise("hash:old")

