@@ -84,7 +84,7 @@ def vectors(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return counts / np.maximum(size, 1e-9)
 
 
-def blocks(column: pa.Array, rows: int = 512) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def blocks(column: pa.Array, rows: int = 256) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, features, whether a text has a letter, ids of rows) for slices of a text column."""
     for start in range(0, len(column), rows):
         part = column.slice(start, rows)

@@ -112,17 +112,18 @@ def scan(docs: DataFrame, text_col: str = "text", least: float = 0.55, reach: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         novelty = Novelty()
-        for batch in batches:
-            rows = []
-            for text in batch[text_col].to_pylist():
-                text = text or ""
-                base = base_spans(text)
-                spans = sorted(base + novel_spans(text, base, novelty, reach, least), key=lambda x: (x[0], KINDS.index(x[2])))
-                counts = [sum(x[2] == kind for x in base) for kind in KINDS[:3]]
-                row = [*counts, len(spans), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans)]
-                rows.append(row + [_masked(text, spans)] * masked)
-            new = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types]
-            yield pa.RecordBatch.from_arrays([*(batch[f.name] for f in kept), *new], [*(f.name for f in kept), *names])
+        for whole in batches:
+            for low in range(0, whole.num_rows, 512):
+                batch, rows = whole.slice(low, 512), []
+                for text in batch[text_col].to_pylist():
+                    text = text or ""
+                    base = base_spans(text)
+                    spans = sorted(base + novel_spans(text, base, novelty, reach, least), key=lambda x: (x[0], KINDS.index(x[2])))
+                    counts = [sum(x[2] == kind for x in base) for kind in KINDS[:3]]
+                    row = [*counts, len(spans), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans)]
+                    rows.append(row + [_masked(text, spans)] * masked)
+                new = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch[f.name] for f in kept), *new], [*(f.name for f in kept), *names])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     added = "n_assign long, n_access long, n_hex long, n_spans long, base_sha256 string, spans string" + ", masked string" * masked

@@ -20,8 +20,8 @@ CELLS = "block int, cells binary, counts binary"
 
 
 def width_for(amount: int, least: int = 16, most: int = 26) -> int:
-    """A width with some four cells a row for each of ``amount`` things, within bounds."""
-    return min(most, max(least, (4 * max(amount, 1)).bit_length()))
+    """A width with two cells a row or more for each of ``amount`` things, within bounds."""
+    return min(most, max(least, (2 * max(amount, 1)).bit_length()))
 
 
 def slots(h: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
@@ -31,23 +31,23 @@ def slots(h: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
 
 
 class Counter:
-    """One partition's sketch; counts stop at 65,535."""
+    """One partition's sketch, a byte a cell; its counts stop at 255."""
 
     def __init__(self, width: int):
         self.width = width
-        self.cells = np.zeros(ROWS << width, np.uint16)
+        self.cells = np.zeros(ROWS << width, np.uint8)
 
     def add(self, h: np.ndarray) -> None:
         for at in slots(h, self.width):
             cell, n = np.unique(at, return_counts=True)
-            self.cells[cell] = np.minimum(self.cells[cell].astype(np.int64) + n, 65535)
+            self.cells[cell] = np.minimum(self.cells[cell] + n, 255)
 
     def batches(self) -> Iterator[pa.RecordBatch]:
         for start in range(0, len(self.cells), BLOCK):
             part = self.cells[start : start + BLOCK]
             used = np.flatnonzero(part)
             if len(used):
-                cells, counts = used.astype("<u2").tobytes(), part[used].astype("<u2").tobytes()
+                cells, counts = used.astype("<u2").tobytes(), part[used].tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([start // BLOCK], pa.int32()), pa.array([cells], pa.binary()), pa.array([counts], pa.binary())], ["block", "cells", "counts"]
                 )
@@ -73,7 +73,7 @@ def busy(blocks: DataFrame, width: int, limits: tuple[int, ...]) -> list[np.ndar
                     if now is not None:
                         yield bits()
                     now, total[:] = block, 0
-                total[np.frombuffer(cells, "<u2")] += np.frombuffer(counts, "<u2")
+                total[np.frombuffer(cells, "<u2")] += np.frombuffer(counts, np.uint8)
         if now is not None:
             yield bits()
 

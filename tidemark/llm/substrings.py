@@ -146,23 +146,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = rows.select(*[f"`{f.name}`" for f in kept], text_, gone_)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            texts, places = batch[len(kept)], batch[len(kept) + 1]
-            for i in range(batch.num_rows):
-                words = (texts[i].as_py() or "").encode("utf-8", "surrogatepass").split()
-                left, gone = words, 0
-                if places[i].is_valid:
-                    at = places[i].values.to_numpy()
-                    step = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(step, at, 1)
-                    np.add.at(step, at + size, -1)
-                    stays = np.cumsum(step)[:-1] == 0
-                    left, gone = list(compress(words, stays)), len(words) - int(stays.sum())
-                text = b" ".join(left)
-                out.append((len(words), gone, hashlib.sha256(text).hexdigest() if digest else text.decode()))
-            columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *columns], [*(f.name for f in kept), *new])
+        for whole in batches:
+            for low in range(0, whole.num_rows, 512):
+                batch, out = whole.slice(low, 512), []
+                texts, places = batch[len(kept)], batch[len(kept) + 1]
+                for i in range(batch.num_rows):
+                    words = (texts[i].as_py() or "").encode("utf-8", "surrogatepass").split()
+                    left, gone = words, 0
+                    if places[i].is_valid:
+                        at = places[i].values.to_numpy()
+                        step = np.zeros(len(words) + 1, np.int64)
+                        np.add.at(step, at, 1)
+                        np.add.at(step, at + size, -1)
+                        stays = np.cumsum(step)[:-1] == 0
+                        left, gone = list(compress(words, stays)), len(words) - int(stays.sum())
+                    text = b" ".join(left)
+                    out.append((len(words), gone, hashlib.sha256(text).hexdigest() if digest else text.decode()))
+                columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *columns], [*(f.name for f in kept), *new])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     return rows.mapInArrow(run, f"{schema}, n_words long, n_removed long, {new[-1]} string")
