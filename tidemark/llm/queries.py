@@ -6,8 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import checks
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_arc_to_warc": checks.OP4,
+    "op8_lattice_dedup": checks.OP8,
+    "op9_substring_dedup": checks.OP9,
+    "op10_ngram_jaccard": checks.OP10,
+}
 
 
 def query(build: Callable[[SparkSession, str], DataFrame]):
