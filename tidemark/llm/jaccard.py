@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, maybe_broadcast
 from .components import connected
-from .words import bounds, mix, segments, window_hashes, word_hashes
+from .words import bounds, freeing, mix, segments, window_hashes, word_hashes
 
 N = 5
 SHARE = 80  # percent
@@ -104,7 +104,7 @@ def _signatures(plain: DataFrame, n: int) -> DataFrame:
                     ["doc_id", "n", "s1", "s2", "keys", "bits"],
                 )
 
-    return plain.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, keys array<long>, bits binary")
+    return plain.mapInArrow(freeing(run), "doc_id long, n long, s1 long, s2 long, keys array<long>, bits binary")
 
 
 def _sets(rows: DataFrame, n: int) -> DataFrame:
@@ -118,7 +118,7 @@ def _sets(rows: DataFrame, n: int) -> DataFrame:
                 sets = pa.array([s.tobytes() for s in shingle_sets(some["text"], n)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*some.columns[:-1], sets], [*(f.name for f in kept), "set"])
 
-    return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", set binary")
+    return rows.mapInArrow(freeing(run), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", set binary")
 
 
 def verify(plain: DataFrame, pairs: DataFrame, n: int = N, share: int = SHARE) -> DataFrame:
@@ -154,7 +154,7 @@ def verify(plain: DataFrame, pairs: DataFrame, n: int = N, share: int = SHARE) -
                     v.append(to)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    return rows.mapInArrow(run, "u long, v long")
+    return rows.mapInArrow(freeing(run), "u long, v long")
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import maybe_broadcast
-from .words import segments
+from .words import freeing, segments
 
 DIMENSIONS = 4096
 SAMPLE = 5000
@@ -130,7 +130,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 raw = [v.tobytes() for v in x[letters].astype(np.float16)]
                 yield pa.RecordBatch.from_arrays([batch["lang"].take(some), batch["id"].take(some), pa.array(raw, pa.binary())], ["lang", "id", "x"])
 
-    rows = chosen.mapInArrow(run, "lang string, id long, x binary").orderBy("id", "lang").limit(SAMPLE).toArrow()
+    rows = chosen.mapInArrow(freeing(run), "lang string, id long, x binary").orderBy("id", "lang").limit(SAMPLE).toArrow()
     lang = np.array(rows["lang"].to_pylist(), object)
     x = np.array([np.frombuffer(v, np.float16) for v in rows["x"].to_pylist()], np.float32).reshape(len(lang), DIMENSIONS)
     family = np.array([_FAMILY.get(c.lower().split("-")[0].split("_")[0], c) for c in lang], object)
@@ -192,7 +192,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch[f.name] for f in kept), *new], [*(f.name for f in kept), "lang_pred", "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return docs.select(*[f"`{f.name}`" for f in kept]).mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return docs.select(*[f"`{f.name}`" for f in kept]).mapInArrow(freeing(run), f"{schema}, lang_pred string, score double")
 
 
 def accepted(lang: Column, score: Column, least: float = 0.25) -> Column:

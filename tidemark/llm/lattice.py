@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .components import connected
 from .vectors import distinct_vectors, matrix
-from .words import mix
+from .words import freeing, mix
 
 TABLES = 6
 PROBES = 2
@@ -117,7 +117,7 @@ def laid_out(vectors: DataFrame, tables: int, probes: int, cell: float) -> DataF
                             ["cell", "level", "home", "label", "id", "vector", "codes"],
                         )
 
-    return vectors.mapInArrow(run, "cell long, level int, home boolean, label string, id long, vector array<double>, codes binary")
+    return vectors.mapInArrow(freeing(run), "cell long, level int, home boolean, label string, id long, vector array<double>, codes binary")
 
 
 def linked(rows: DataFrame, tables: int, probes: int, least: float) -> DataFrame:

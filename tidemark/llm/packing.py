@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, maybe_broadcast
+from .words import freeing
 
 CAPACITY = 2048
 GROUP_ROWS = 20_000
@@ -162,4 +163,4 @@ def pack(items: DataFrame, capacity: int = CAPACITY, rows: int = GROUP_ROWS) ->
                 [x.strip().split(" ")[0] for x in PACKED.split(",")],
             )
 
-    return ready.mapInArrow(run, PACKED)
+    return ready.mapInArrow(freeing(run), PACKED)

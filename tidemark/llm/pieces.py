@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import ChunkTable, ragged
-from .words import segments
+from .words import freeing, segments
 
 SPACE = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -187,7 +187,7 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", scores: str | No
                 yield pa.RecordBatch.from_arrays([*some.columns[: len(kept)], lists], [*(f.name for f in kept), out_col])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return docs.select(*[f"`{f.name}`" for f in kept], lead).mapInArrow(run, f"{schema}, `{out_col}` array<int>" if schema else f"`{out_col}` array<int>")
+    return docs.select(*[f"`{f.name}`" for f in kept], lead).mapInArrow(freeing(run), f"{schema}, `{out_col}` array<int>" if schema else f"`{out_col}` array<int>")
 
 
 def decode(rows: DataFrame, model: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -210,4 +210,4 @@ def decode(rows: DataFrame, model: str, ids_col: str = "ids", out_col: str = "de
                 yield pa.RecordBatch.from_arrays([*(some[f.name] for f in kept), out], [*(f.name for f in kept), out_col])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return rows.select(*[f"`{f.name}`" for f in kept]).mapInArrow(run, f"{schema}, `{out_col}` string")
+    return rows.select(*[f"`{f.name}`" for f in kept]).mapInArrow(freeing(run), f"{schema}, `{out_col}` string")

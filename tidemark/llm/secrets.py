@@ -21,6 +21,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .words import freeing
+
 # The base patterns, the least lengths, and the order of kinds.
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -127,7 +129,7 @@ def scan(docs: DataFrame, text_col: str = "text", least: float = 0.55, reach: in
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     added = "n_assign long, n_access long, n_hex long, n_spans long, base_sha256 string, spans string" + ", masked string" * masked
-    return docs.select(*[f"`{f.name}`" for f in kept], *[f"`{text_col}`"] * (text_col.lower() in names)).mapInArrow(run, f"{schema}, {added}" if schema else added)
+    return docs.select(*[f"`{f.name}`" for f in kept], *[f"`{text_col}`"] * (text_col.lower() in names)).mapInArrow(freeing(run), f"{schema}, {added}" if schema else added)
 
 
 def _joined(spans: list[tuple[int, int, str]]) -> str:

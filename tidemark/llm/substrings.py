@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from . import sketch
 from .spread import bytes_of, clear_of
-from .words import bounds, segments, whole_windows, window_hashes, word_hashes
+from .words import bounds, freeing, segments, whole_windows, window_hashes, word_hashes
 
 SIZE = 50
 ANCHOR = 24
@@ -73,7 +73,7 @@ def count_anchors(docs: DataFrame, width: int, size: int = SIZE) -> DataFrame:
                 counter.add(anchors[np.unique(place, return_index=True)[1]])  # an occurrence counts once
         yield from counter.batches()
 
-    return docs.select("text").mapInArrow(run, sketch.CELLS)
+    return docs.select("text").mapInArrow(freeing(run), sketch.CELLS)
 
 
 def candidates(docs: DataFrame, width: int, repeated, hot, size: int = SIZE) -> DataFrame:
@@ -106,7 +106,7 @@ def candidates(docs: DataFrame, width: int, repeated, hot, size: int = SIZE) ->
                     columns = [w1[s], w2[s], share[s], doc[s], tag[s], (at[s] - firsts[rows[s]]).astype(np.int32)]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["w1", "w2", "share", "doc_id", "tag", "at"])
 
-    return docs.select("doc_id", "tag", "text").mapInArrow(run, "w1 long, w2 int, share int, doc_id long, tag int, at int")
+    return docs.select("doc_id", "tag", "text").mapInArrow(freeing(run), "w1 long, w2 int, share int, doc_id long, tag int, at int")
 
 
 def later(found: DataFrame) -> DataFrame:
@@ -166,4 +166,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *columns], [*(f.name for f in kept), *new])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return rows.mapInArrow(run, f"{schema}, n_words long, n_removed long, {new[-1]} string")
+    return rows.mapInArrow(freeing(run), f"{schema}, n_words long, n_removed long, {new[-1]} string")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ..session import maybe_broadcast, shared_folder
 from .chunks import ChunkTable
 from .spread import bytes_of, parts
-from .words import segments
+from .words import freeing, segments
 
 _SCHEMA = "doc_id long, part int, part_start long, n_tokens int, tokens array<int>"
 PART_BYTES = 24 << 20
@@ -143,7 +143,7 @@ def encode(docs: DataFrame, model: str, end_id: int | None = 2, id_col: str = "d
                 )
                 base += int(ends[-1])
 
-    return rows.mapInArrow(run, _SCHEMA)
+    return rows.mapInArrow(freeing(run), _SCHEMA)
 
 
 def write(
@@ -194,7 +194,7 @@ def with_crc32(rows: DataFrame) -> DataFrame:
 
     kept = [c for c in rows.columns if c != "tokens"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "tokens")
-    return rows.mapInArrow(run, f"{schema}, ids_crc32 long")
+    return rows.mapInArrow(freeing(run), f"{schema}, ids_crc32 long")
 
 
 def store(docs: DataFrame, model: str, **options) -> str:

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, maybe_broadcast, shared_folder
+from .words import freeing
 
 # Header fields of ARC version blocks, and names WARC prescribes.
 ARC_FIELDS = {
@@ -81,7 +82,7 @@ def arc_files(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         if held:
             yield flush()
 
-    return rows.mapInArrow(run, "name string, content binary")
+    return rows.mapInArrow(freeing(run), "name string, content binary")
 
 
 def _bare(url: str) -> str:
@@ -171,7 +172,7 @@ def convert(archives: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names)
 
-    return archives.select("name", "content").mapInArrow(run, RECORDS)
+    return archives.select("name", "content").mapInArrow(freeing(run), RECORDS)
 
 
 _TYPES = [
@@ -291,7 +292,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("content").mapInArrow(run, schema)
+    return files.select("content").mapInArrow(freeing(run), schema)
 
 
 def archive(pages: DataFrame, min_bytes: int = 0, **columns) -> str:

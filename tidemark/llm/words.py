@@ -7,6 +7,8 @@ megabytes, so that memory follows the segment (or the longest document), not the
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -111,3 +113,27 @@ def whole_windows(firsts: np.ndarray, size: int, n: int) -> tuple[np.ndarray, np
     left = firsts[1:][rows] - np.arange(len(rows))
     good = np.flatnonzero(left >= size)
     return good, rows[good]
+
+
+def freeing(run):
+    """A task function that, when it is through, gives what it used back to the system.
+
+    Python workers serve one task after another; without this they keep the largest one's memory.
+    """
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def release() -> None:
+    _POWERS.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
