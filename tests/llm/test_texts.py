@@ -36,6 +36,36 @@ def test_encoder_equals_the_library(limit):
     assert got == [encoder.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+SPECIAL = [
+    "end of one<|endoftext|>next", "<|endoftext|>", "a<|endoftext|> b <|endoftext|>\n<|endoftext|>", "<|endoftext", "|>", "é<|endoftext|>語",
+    "no token", "<|endoftext|> <|end<|endoftext|>oftext|>", "<|", "endoftext|>", "x  <|endoftext|>",
+]
+
+
+def test_encoder_keeps_added_tokens():
+    from tokenizers import Tokenizer
+
+    library, encoder = Tokenizer.from_file(BPE), token_store.Encoder(BPE)
+    got = []
+    for _, data, offsets in segments(pa.array(SPECIAL)):
+        ids, counts = encoder.encode(data, offsets)
+        got += [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+    assert got == [library.encode(x, add_special_tokens=False).ids for x in SPECIAL]
+    assert got[0] == [437, 286, 530, 50256, 19545]
+
+
+def test_token_store_keeps_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    library, start, want = Tokenizer.from_file(BPE), 0, []
+    for i, text in enumerate(SPECIAL):
+        ids = [*library.encode(text, add_special_tokens=False).ids, 2]
+        want.append((i, start, len(ids), ids))
+        start += len(ids)
+    docs = spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id long, text string").repartition(3)
+    assert sorted(tuple(r) for r in token_store.read(spark, token_store.store(docs, BPE)).collect()) == want
+
+
 def test_token_store_query(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     encoder, start, want = token_store.Encoder(BPE), 0, []

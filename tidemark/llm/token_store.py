@@ -43,14 +43,15 @@ class Encoder:
     feed between printable characters.  So a text's ids are its chunks' ids in order.
     Chunks are found, hashed (64 bits) and looked up for a whole batch at once; the library
     sees only those not seen before.  Texts in which a space has other white space beside it
-    go to the library whole.  The table of chunks is emptied when it holds ``limit``.
+    go to the library whole, and so do texts that hold an added token, which the library takes
+    out before it cuts.  The table of chunks is emptied when it holds ``limit``.
     """
 
     def __init__(self, model: str, limit: int = 2_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(model)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         spare = iter(range(256, 512))
         self.alphabet = str.maketrans({b: chr(b if b in printable else next(spare)) for b in range(256)})
@@ -72,6 +73,20 @@ class Encoder:
         lengths = np.array([-1 if x is None else len(x) for x in found], np.int32)
         return np.array([i for x in found if x is not None for i in x], np.int32), lengths
 
+    def holding(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The rows that hold an added token."""
+        raw, rows = data.tobytes(), []
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                row = int(np.searchsorted(offsets, at, "right")) - 1
+                end = int(offsets[row + 1])
+                if at + len(token) <= end:
+                    rows.append(row)
+                    at = end - 1
+                at = raw.find(token, at + 1)
+        return np.array(rows, np.int64)
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the rows of one segment, and how many each row has."""
         rows = len(offsets) - 1
@@ -80,7 +95,7 @@ class Encoder:
         starts = np.flatnonzero(_cuts(data, offsets))
         ids, lengths = self.table(data, starts, np.r_[starts[1:], len(data)])
         firsts = np.searchsorted(starts, offsets)
-        unsure = np.unique(np.searchsorted(firsts, np.flatnonzero(lengths < 0), "right") - 1)
+        unsure = np.union1d(np.searchsorted(firsts, np.flatnonzero(lengths < 0), "right") - 1, self.holding(data, offsets))
         counts = np.diff(np.r_[0, np.cumsum(np.maximum(lengths, 0))][firsts])
         if len(unsure):
             at = np.r_[0, np.cumsum(counts)]
