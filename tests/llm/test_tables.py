@@ -236,6 +236,23 @@ def test_nearest_neighbours(spark):
     assert [(r["rank"]) for r in sorted(few, key=lambda r: r["rank"])] == [1, 2]
 
 
+def test_all_ends_of_a_vector_meet(spark):
+    """60 ends around vector 0, the star's centre, and 400 around vector 100: none is left out."""
+    for centre, leaves in ((0, 60), (100, 400)):
+        x = np.random.default_rng(centre).normal(size=(leaves, 8))
+        points = [(1000 + i, v.tolist()) for i, v in enumerate(x)]
+        vectors = spark.createDataFrame([(centre, [9.0] * 8), *points], "id long, vector array<double>")
+        graph = spark.createDataFrame([(i, centre, 50.0, 0) for i, _ in points], "u long, v long, d double, born int")
+        got = {}
+        for r in neighbours._round(graph, vectors, 24, 1).collect():
+            got.setdefault(r.u, {})[r.v] = r.d
+        assert set(got) - {centre} == {i for i, _ in points}
+        if leaves == 60:  # one meeting: each finds its nearest
+            d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+            np.fill_diagonal(d, np.inf)
+            assert all(min(got[1000 + i], key=got[1000 + i].get) == 1000 + int(d[i].argmin()) for i in range(leaves))
+
+
 def test_neighbour_query_recall(spark):
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").collect()
     ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
