@@ -33,6 +33,7 @@ from .words import freeing, segments
 
 _SCHEMA = "doc_id long, part int, part_start long, n_tokens int, tokens array<int>"
 PART_BYTES = 24 << 20
+CHUNKS = 400_000
 
 
 class Encoder:
@@ -44,14 +45,16 @@ class Encoder:
     Chunks are found, hashed (64 bits) and looked up for a whole batch at once; the library
     sees only those not seen before.  Texts in which a space has other white space beside it
     go to the library whole, and so do texts that hold an added token, which the library takes
-    out before it cuts.  The table of chunks is emptied when it holds ``limit``.
+    out before it cuts.  With ``plain`` an added token's string is text like any other.  The table
+    of chunks is emptied when it holds ``limit``: some 50 bytes a chunk.
     """
 
-    def __init__(self, model: str, limit: int = 2_000_000):
+    def __init__(self, model: str, limit: int = CHUNKS, plain: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(model)
-        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.tokenizer.encode_special_tokens = plain
+        self.added = [] if plain else [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         spare = iter(range(256, 512))
         self.alphabet = str.maketrans({b: chr(b if b in printable else next(spare)) for b in range(256)})
@@ -106,6 +109,17 @@ class Encoder:
         return ids, counts
 
 
+_ENCODERS: dict[tuple, Encoder] = {}
+
+
+def encoder_for(model: str, plain: bool = False) -> Encoder:
+    """This worker process's encoder: workers serve many tasks, and the library does not give all memory back."""
+    key = (model, plain)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(model, plain=plain)
+    return _ENCODERS[key]
+
+
 _KIND = np.zeros(256, np.uint8)  # 1 white space, 2 ASCII letter or digit, 4 ASCII mark other than the apostrophe, 8 printable ASCII
 _KIND[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = 1
 _KIND[33:127] = 12
@@ -140,7 +154,7 @@ def encode(docs: DataFrame, model: str, end_id: int | None = 2, id_col: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, base, encoder = TaskContext.get().partitionId(), 0, Encoder(model)
+        part, base, encoder = TaskContext.get().partitionId(), 0, encoder_for(model)
         close = 0 if end_id is None else 1
         for batch in batches:
             for row, data, offsets in segments(batch["text"]):
