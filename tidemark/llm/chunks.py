@@ -16,7 +16,7 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class ChunkTable:
-    """Ids of chunks by their 64-bit hash; open addressing, emptied when it holds ``limit`` chunks.
+    """Ids of chunks by their 64-bit hash; open addressing, emptied when it holds ``limit`` chunks or 16 times as many ids.
 
     ``learn`` gives the ids of chunks seen for the first time: an array of ids one after the
     other, and how many each chunk has (-1: the chunk has no ids of its own).
@@ -79,7 +79,7 @@ class ChunkTable:
         k = self.find(h)
         if (new := np.flatnonzero(k == 0)).size:
             fresh, at = np.unique(h[new], return_index=True)
-            if self.count + len(fresh) > self.limit:
+            if self.count + len(fresh) > self.limit or self.used > 16 * self.limit:
                 self.forget()
                 fresh, at = np.unique(h, return_index=True)
                 new = np.arange(len(h))

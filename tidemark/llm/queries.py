@@ -122,3 +122,14 @@ def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = neighbours.nearest(table(spark, sf_dir, "embeddings"), F.pmod("id", F.lit(100)) == 0)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of a byte-level BPE and of a piece model cover each other in every document."""
+    import public_tokenizers
+
+    from . import alignment
+
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.aligned_counts(table(spark, sf_dir, "documents"), a, b, digest=True)

@@ -33,7 +33,7 @@ from .words import freeing, segments
 
 _SCHEMA = "doc_id long, part int, part_start long, n_tokens int, tokens array<int>"
 PART_BYTES = 24 << 20
-CHUNKS = 400_000
+CHUNKS = 700_000
 
 
 class Encoder:
