@@ -46,3 +46,18 @@ o AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS same FROM s a JOIN s b ON
 l AS (SELECT u, v FROM o JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * same >= 80 * (x.n + y.n - same)),
 {_REACH}
 SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component, doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON node = doc_id"""
+
+OP12 = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS ws, row_number() OVER () AS r FROM documents),
+l AS (SELECT r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+w AS (SELECT r, unnest(ws) AS word, unnest(range(len(ws))) AS p, len(ws) AS n FROM d),
+t AS (SELECT r, p, n, concat_ws(' ', word, lead(word) OVER o, lead(word, 2) OVER o) AS t FROM w WINDOW o AS (PARTITION BY r ORDER BY p)),
+c AS (SELECT r, p, count(*) OVER (PARTITION BY r, t) AS k FROM t WHERE p + 3 <= n),
+g AS (SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest([p, p + 1, p + 2]) AS q FROM c WHERE k > 1) GROUP BY 1),
+m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+  coalesce(n, 0) AS n_repeat_words, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_capitals FROM d JOIN l USING (r) LEFT JOIN g USING (r)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  [n_words < 50, 100 * n_repeat_words > 50 * n_words, 10 * n_symbols > n_words, 100 * n_dup_lines > 30 * n_lines,
+   word_chars < 3 * n_words, word_chars > 10 * n_words, 100 * n_capitals > 50 * word_chars] AS fails FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_capitals,
+  list_sum(list_transform(range(7), lambda k: fails[k + 1]::BIGINT << k))::BIGINT AS failed, base_failed, NOT list_contains(fails, true) AS kept FROM f"""

@@ -14,6 +14,7 @@ ORACLES: dict[str, str] = {
     "op8_lattice_dedup": checks.OP8,
     "op9_substring_dedup": checks.OP9,
     "op10_ngram_jaccard": checks.OP10,
+    "op12_quality_rules": checks.OP12,
 }
 
 
@@ -133,3 +134,21 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     return alignment.aligned_counts(table(spark, sf_dir, "documents"), a, b, digest=True)
+
+
+@query
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stored rule bits of every document say under the strict policy."""
+    from . import rules
+
+    rows = rules.judged(rules.ledger(table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", *rules.MEASURES, "failed", "base_failed", "kept")
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forms and roots of all words of the documents, one letter dropped in some."""
+    from ..session import cut_lineage
+    from . import spelling
+
+    return spelling.variants(cut_lineage(spelling.word_counts(table(spark, sf_dir, "documents"), drop_one_in=31), "vocabulary"))
