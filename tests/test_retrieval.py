@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.fixed import DEFAULTS
-from tidemark.operators import ranking, search
+from tidemark.operators import ranking, search, vector_index
 
 WORDS = "alpha beta gamma delta epsilon zeta theta kappa lambda sigma".split()
 
@@ -87,7 +87,7 @@ def test_dense_blocks_equal_numpy(spark, block):
     v = rng.normal(size=(23, 8)).astype(np.float32)
     vec = spark.createDataFrame([(i, "m" if i % 5 else "old", v[i].tolist()) for i in range(23)], "chunk_id int, model string, vector array<float>")
     q = spark.createDataFrame([(i, 0, j, "m", v[i + j].tolist()) for i in range(4) for j in range(2)], "query_id int, subq int, variant int, model string, vector array<float>")
-    hits = search.dense_search(q, vec, k=5, block=block).collect()
+    hits = vector_index.dense_search(q, vec, k=5, block=block).collect()
     u = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1)[:, None]
     usable = [i for i in range(23) if i % 5]
     for i in range(4):

@@ -12,8 +12,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -323,97 +321,7 @@ def append_list(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.unionByName(moved.drop("_n"))
 
 
-# ------------------------------------------------------------------ vectors
-
-BLOCK_VECTORS = 4096  # vectors per side of one block pair
-
-
-def dense_search(
-    queries: DataFrame,
-    vectors: DataFrame,
-    k: int | None = fixed.DEFAULTS.retrieve_k,
-    min_score: float | None = None,
-    block: int = BLOCK_VECTORS,
-) -> DataFrame:
-    """Exact cosine top ``k``: best over a sub-question's variants, same model only.
-
-    ``queries``: query_id, subq, variant, model, vector; ``vectors``: chunk_id, model,
-    vector.  Both sides are cut into blocks of bounded size and every pair of blocks is
-    one matrix product in its own task, which returns at most ``k`` rows per variant.
-    No side is broadcast or collected, and no task depends on how the data is keyed.
-    """
-    q_blocks = max(1, -(-queries.count() // block))
-    v_blocks = max(1, -(-vectors.count() // block))
-    q_id = F.pmod(F.xxhash64("query_id", "subq", "variant"), F.lit(q_blocks)).cast("int")
-    v_id = F.pmod(F.xxhash64("chunk_id"), F.lit(v_blocks)).cast("int")
-    # Fresh column identities: both sides may come from the same table.
-    queries = queries.select(*[F.col(c).alias(c) for c in ("query_id", "subq", "variant", "model", "vector")])
-    vectors = vectors.select(*[F.col(c).alias(c) for c in ("chunk_id", "model", "vector")])
-    left = queries.withColumn("qb", q_id).withColumn(
-        "vb", F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1)))
-    )
-    right = vectors.withColumn("vb", v_id).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))
-    )
-    kinds = dict(queries.dtypes) | {"chunk_id": dict(vectors.dtypes)["chunk_id"]}
-    schema = (
-        f"query_id {kinds['query_id']}, subq {kinds['subq']}, variant {kinds['variant']}, "
-        f"chunk_id {kinds['chunk_id']}, score double"
-    )
-
-    def multiply(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        return _block_top(q, v, k, min_score)
-
-    best = (
-        left.groupBy("qb", "vb")
-        .cogroup(right.groupBy("qb", "vb"))
-        .applyInPandas(multiply, schema)
-        .groupBy("query_id", "subq", "chunk_id")
-        .agg(F.max("score").alias("score"))
-    )
-    return top_hits(best, "dense", k)
-
-
-def _unit(rows: pd.Series, size: int) -> tuple[np.ndarray, np.ndarray]:
-    usable = np.array([x is not None and len(x) == size for x in rows], dtype=bool)
-    if not usable.any():
-        return np.zeros((0, size)), np.flatnonzero(usable)
-    m = np.vstack([np.asarray(x, dtype=np.float64) for x, ok in zip(rows, usable) if ok])
-    n = np.linalg.norm(m, axis=1)
-    return m[n > 0] / n[n > 0][:, None], np.flatnonzero(usable)[n > 0]
-
-
-def _block_top(q: pd.DataFrame, v: pd.DataFrame, k: int | None, min_score: float | None) -> pd.DataFrame:
-    parts = []
-    for model, qm in q.groupby("model"):
-        vm = v[v["model"] == model]
-        for size in {len(x) for x in qm["vector"] if x is not None}:
-            a, ai = _unit(qm["vector"], size)
-            b, bi = _unit(vm["vector"], size)
-            if not len(a) or not len(b):
-                continue
-            ids = vm["chunk_id"].to_numpy()[bi]
-            by_id = np.argsort(ids, kind="stable")
-            sims = a @ b[by_id].T
-            keys = np.round(sims, DIGITS)
-            for row, at in enumerate(ai):
-                order = np.argsort(-keys[row], kind="stable")[:k]
-                if min_score is not None:
-                    order = order[sims[row][order] >= min_score]
-                src = qm.iloc[at]
-                parts.append(
-                    pd.DataFrame(
-                        {
-                            "query_id": src["query_id"],
-                            "subq": src["subq"],
-                            "variant": src["variant"],
-                            "chunk_id": ids[by_id][order],
-                            "score": sims[row][order],
-                        }
-                    )
-                )
-    columns = ["query_id", "subq", "variant", "chunk_id", "score"]
-    return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=columns)
+# ------------------------------------------------------------------ neighbours
 
 
 def neighbours(candidates: DataFrame, chunks: DataFrame, radius: int = 1, mask: str = "escalated") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
-from ..operators import ranking, search
+from ..operators import ranking, search, vector_index
 from ..session import cut_lineage
 from . import oracle as o
 from .catalog import query
@@ -149,7 +149,7 @@ def _(t):
 def _(t):
     v = t.embeddings.select(F.col("vec_id").alias("chunk_id"), F.lit("given").alias("model"), F.col("embedding").alias("vector"))
     asked = v.select(F.col("chunk_id").alias("query_id"), F.lit(0).alias("subq"), F.lit(0).alias("variant"), "model", "vector")
-    hits = search.dense_search(asked, v, k=5)
+    hits = vector_index.dense_search(asked, v, k=5, exact=True)
     return hits.select("query_id", long("rank").alias("rank"), "chunk_id", F.round("score", 4).alias("score"))
 
 
