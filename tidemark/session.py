@@ -50,13 +50,18 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN_FOLDERS[own]
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A place of its own below the shared folder, not made yet."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The result survives lost executors and has no lineage, unlike a local checkpoint.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
