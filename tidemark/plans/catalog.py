@@ -28,6 +28,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def oracle(name: str) -> str:
+    """The check of a query registered before, for another way to the same rows."""
+    return ORACLES[name]
+
+
 def load() -> None:
     for section in SECTIONS:
         importlib.import_module(f"{__package__}.queries_{section}")

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import corpus
+from ..operators.chunk_store import ChunkStore
+from ..session import new_folder
 from . import oracle as o
-from .catalog import query
+from .catalog import oracle, query
 from .tables import as_of
 
 
@@ -145,6 +147,47 @@ def _(t):
     return state(corpus.roll_back(versioned(t), t.labels.where(F.col("quality") == 0)))
 
 
+def _store(t):
+    """The versions as a stored table of partitions by workspace, status and document slice."""
+    return ChunkStore(t.spark, new_folder(t.spark, "chunks"), slices=8).create(versioned(t))
+
+
+@query("c4_store_activate", oracle("c4_activate"))
+def _(t):
+    store = _store(t)
+    store.activate("one", t.labels.where(F.col("quality") == 1).select("doc_id", F.lit(3).alias("version")))
+    return state(store.chunks())
+
+
+@query("c6_store_promote", oracle("c6_promote_staged"))
+def _(t):
+    store = _store(t)
+    store.promote("one")
+    store.promote("one")  # tried again: nothing more happens
+    return state(store.chunks())
+
+
+@query("c7_store_roll_back", oracle("c7_roll_back"))
+def _(t):
+    store = _store(t)
+    store.roll_back("one", t.labels.where(F.col("quality") == 0))
+    return state(store.chunks())
+
+
+@query(
+    "a4_store_live",
+    o.with_views(
+        "chunks_v",
+        _VERS + """ SELECT chunk_id, vers.status, title FROM vers JOIN docs_v USING (doc_id) WHERE v > 1
+        AND NOT (vers.status = 'staged' AND doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1))""",
+    ),
+)
+def _(t):
+    store = _store(t)
+    store.discard("one", t.labels.where(F.col("toxic") == 1))
+    return store.live(t.docs()).select("chunk_id", "status", "title")
+
+
 def _scheduled(t):
     d = t.docs().withColumn("crawl_interval_s", 100 * F.pmod("doc_id", F.lit(7000)))
     return d.withColumn("changed", F.col("tier") == "cold").withColumn("next_crawl_at", F.when(F.col("n_chars") > 100, F.col("modified_at")))
