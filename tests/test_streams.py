@@ -1,13 +1,14 @@
 """Streams give what the batch operators give on the same rows."""
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import signals
+from tidemark.operators import search, signals
 from tidemark.plans.queries_streams import StreamTables, out_path, run
 from tidemark.plans.tables import Tables
-from tidemark.streaming import jobs
+from tidemark.streaming import ingestion, jobs
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,7 +33,7 @@ def test_rephrase_stream_equals_batch(spark):
 
 def test_ingest_adds_versions_only_for_changes(spark):
     t = Tables(spark, SF)
-    log = jobs.CorpusLog(spark, out_path(t, "corpus-" + uuid.uuid4().hex[:6]))
+    log = ingestion.CorpusLog(spark, out_path(t, "corpus-" + uuid.uuid4().hex[:6]))
 
     def batch(*files):
         df = spark.createDataFrame(list(files), "uri string, body string")
@@ -43,3 +44,33 @@ def test_ingest_adds_versions_only_for_changes(spark):
     log.ingest(batch(("a", "First text here."), ("b", "Second text changed."), ("c", "Third.")), 1)  # a retried batch
     assert {(r["uri"], r["version"]) for r in log.documents().collect()} == {("a", 1), ("b", 2), ("c", 1)}
     assert {r["text"] for r in log.live_chunks().collect()} == {"First text here.", "Second text changed.", "Third."}
+
+
+def test_ingest_reads_the_current_table_by_slice_and_keeps_postings(spark, tmp_path):
+    def batch(*files):
+        df = spark.createDataFrame(list(files), "uri string, body string")
+        return df.select(F.lit("kb").alias("kb_id"), "uri", F.concat("uri", F.lit(".txt")).alias("name"), F.encode("body", "UTF-8").alias("content"))
+
+    log = ingestion.CorpusLog(spark, str(tmp_path / "log"), slices=16, fold=0.5, keep_index=True)
+    texts = {f"u{i}": f"Text number {i} about things." for i in range(30)}
+    log.ingest(batch(*texts.items()), 0)
+    assert log._since(None) == (None, [0])
+    for n in range(1, 3):
+        new = {f"u{n}": f"Changed words {n}.", f"v{n}": f"Other matters {n}."}
+        texts |= new
+        log.ingest(batch(*new.items(), ("u9", texts["u9"])), n)
+        if n == 2:
+            log.ingest(batch(*new.items(), ("u9", texts["u9"])), n)  # a retried batch
+    assert log._since(None) == (0, [1, 2])  # the first batch was folded, those after it are a small part of it
+    plan = log.known(batch(("u2", "")), 5)._jdf.queryExecution().toString()
+    assert re.search(r"PartitionFilters: \[slice#\d+ IN|PartitionFilters: \[isnotnull\(slice#\d+\), \(slice#\d+ = ", plan)
+    assert [(r.uri, r.version) for r in log.known(batch(("u2", ""), ("nowhere", "")), 5).collect()] == [("u2", 2)]
+    want = {(f"u{i}", 2 if 1 <= i < 3 else 1) for i in range(30)} | {(f"v{n}", 1) for n in range(1, 3)}
+    assert {(r.uri, r.version) for r in log.documents().collect()} == want
+    assert sorted(r.text for r in log.live_chunks().collect()) == sorted(texts.values())
+    live = log.live_chunks()
+    pick = lambda df: {(r.term, r.tf, r.doc_len) for r in df.select("term", "tf", "doc_len").collect()}
+    assert pick(log.index().postings()) == pick(search.postings(live))
+    assert log.index().postings().count() == search.postings(live).count()
+    assert log.fold_log(force=True) and log._since(None)[1] == []
+    assert {(r.uri, r.version) for r in log.documents().collect()} == want

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import register, text
 from ..operators import evaluation
 from ..session import shared_folder
-from ..streaming import jobs
+from ..streaming import ingestion, jobs
 from . import oracle as o
 from .catalog import query
 from .tables import Tables
@@ -20,7 +20,7 @@ class StreamTables(Tables):
 
     def __getattr__(self, name):
         still = Tables.__getattr__(self, name)
-        source = self.spark.readStream.schema(still.schema).option("pathGlobFilter", f"{name}.parquet")
+        source = self.spark.readStream.schema(still.schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 64)
         return source.parquet(self.folder)
 
 
@@ -40,7 +40,7 @@ def run(t, stream, keys, mode="update"):
 
 @query("k1_incremental_ingest")
 def _(t):
-    log = jobs.CorpusLog(t.spark, out_path(t, "corpus"))
+    log = ingestion.CorpusLog(t.spark, out_path(t, "corpus"))
     files = streamed(t).documents.select(
         F.col("lang").alias("kb_id"),
         F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("uri"),
