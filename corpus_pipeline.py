@@ -12,13 +12,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import shared_folder
+from tidemark.session import cut_lineage, shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language can be told, and writes it into lang."""
+    """Keeps documents whose language can be told, and writes it into lang.
+
+    Null texts and texts without a letter go; each row is told by its own text, whatever its id.
+    """
     from tidemark.llm import languages
 
     model = languages.train(docs)
@@ -28,16 +31,32 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document stays of every group linked by shingle Jaccard of 0.8: the smallest id."""
+    """One document stays of every group linked by shingle Jaccard of 0.8: the smallest id that only one row has.
+
+    Rows that share an id (or have none) are documents of their own: rows equal in id and text
+    count once, others are linked by their texts alone, and stand behind all ids of single rows when
+    a group's document is chosen.  Null, empty and wordless texts link with nothing and stay.
+    """
     from tidemark.llm import jaccard
 
-    groups = jaccard.near_groups(docs)
-    others = groups.where("doc_id <> component_id").select("doc_id")
-    return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
+    repeated = docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"), F.lit(True).alias("_again"))
+    repeated = cut_lineage(repeated, "repeated-ids")
+    own = F.lit(1 << 62) + F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 61))
+    keyed = docs.join(repeated, docs["doc_id"].eqNullSafe(repeated["_id"]), "left")
+    keyed = keyed.withColumn("_key", F.when(F.col("_again"), own).otherwise(F.col("doc_id").cast("long")))
+    groups = jaccard.near_groups(keyed.select("_key", "text"), id_col="_key")
+    others = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_key"))
+    kept = keyed.join(others, "_key", "left_anti")
+    again = kept.where("_again").dropDuplicates(["_key"])
+    return kept.where("_again is null").select(*COLUMNS).unionByName(again.select(*COLUMNS))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts 50-word passages that an earlier document has; a document left without words goes."""
+    """Cuts 50-word passages that a document of a smaller id has; a document left without words by that goes.
+
+    Null and short texts stay as they are; a null id counts as the largest, and rows of one id
+    take nothing from each other.
+    """
     from tidemark.llm import substrings
 
     left = substrings.remove_repeats(docs)
@@ -48,7 +67,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces every secret's span by a mark; all documents stay."""
+    """Replaces every secret's span by a mark; all rows stay, texts without a find (null and empty ones too) unchanged."""
     from tidemark.llm import secrets
 
     out = secrets.mask(docs)
@@ -58,7 +77,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document with its sequence and its place there."""
+    """Every piece of every row's text with its sequence and its place there; texts without words have no piece to place."""
     from tidemark.llm import packing
 
     return packing.pack(packing.sized(docs))
