@@ -76,3 +76,16 @@ def test_odd_rows_pass(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), "").count() == 0
     assert languages.train(docs.limit(0)).families == {}
+
+
+def test_rows_that_share_an_id(spark):
+    """A text that copies nothing stays, whatever else has its id; equal rows count once."""
+    word = lambda x: " ".join(f"{x}{k}" for k in range(60))
+    a, b, d, e = map(word, "abde")
+    rows = [(3, a), (5, a), (5, b), (7, d), (7, d), (8, e), (8, e + " end"), (9, None), (9, None), (9, ""), (None, "x y"), (None, a), (None, "x y")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA).repartition(3)
+    left = corpus_pipeline.drop_near_copies(spark, docs, "")
+    got = sorted(((r.doc_id, r.text) for r in left.collect()), key=repr)
+    eight = [r for r in got if r[0] == 8]
+    assert len(eight) == 1 and left.columns == COLUMNS
+    assert [r for r in got if r[0] != 8] == sorted([(3, a), (5, b), (7, d), (9, None), (9, ""), (None, "x y")], key=repr)
