@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import maybe_broadcast
-from .words import freeing, segments
+from .words import freeing, release, segments
 
 DIMENSIONS = 4096
 SAMPLE = 5000
@@ -98,8 +98,10 @@ def blocks(column: pa.Array, rows: int = 256) -> Iterator[tuple[int, np.ndarray,
 
 
 def _separate(x: np.ndarray, sign: np.ndarray, loss: float = 20.0, rounds: int = 200) -> np.ndarray:
-    """Weights and bias of the squared-hinge linear machine, classes weighted evenly; accelerated gradient steps."""
-    x = np.c_[x, np.ones(len(x), np.float32)].astype(np.float32)
+    """Weights and bias (the last, whose column of ``x`` is one) of the squared-hinge linear machine.
+
+    Classes are weighted evenly; accelerated gradient steps.
+    """
     share = np.where(sign > 0, 0.5 / max((sign > 0).sum(), 1), 0.5 / max((sign < 0).sum(), 1)) * loss
     pull = (2 * share * sign).astype(np.float32)
     sign = sign.astype(np.float32)
@@ -132,7 +134,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     rows = chosen.mapInArrow(freeing(run), "lang string, id long, x binary").orderBy("id", "lang").limit(SAMPLE).toArrow()
     lang = np.array(rows["lang"].to_pylist(), object)
-    x = np.array([np.frombuffer(v, np.float16) for v in rows["x"].to_pylist()], np.float32).reshape(len(lang), DIMENSIONS)
+    x = np.ones((len(lang), DIMENSIONS + 1), np.float32)
+    at = 0
+    for chunk in rows["x"].chunks:  # row by row, so that no second copy of the sample is held
+        for v in chunk:
+            x[at, :-1] = np.frombuffer(v.as_buffer(), np.float16)
+            at += 1
+    del rows
     family = np.array([_FAMILY.get(c.lower().split("-")[0].split("_")[0], c) for c in lang], object)
     families = {f: sorted(set(lang[family == f])) for f in sorted(set(family))}
     weights = {}
@@ -141,6 +149,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             for a, b in combinations(group, 2):
                 some = (labels == a) | (labels == b)
                 weights[_key(labels is family, a, b)] = _separate(x[some], np.where(labels[some] == a, 1.0, -1.0))
+    del x
+    release()
     return Model(families, weights)
 
 
