@@ -574,9 +574,10 @@ def roll_back_documents(docs: DataFrame, inverse: DataFrame, undone: DataFrame |
 def review_fixes(fixes: DataFrame, diagnoses: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Human decisions on fixes.  ``decisions``: fix_id, decision (approve / reject /
     roll_back), reason, ts; the latest per fix counts and only from a state it may leave.
+    A diagnosis with several fixes follows the latest decision on any of them.
     Returns fixes and diagnoses with their new states."""
     last = decisions.groupBy("fix_id").agg(
-        F.max_by(F.struct("decision", "reason"), "ts").alias("d")
+        F.max_by(F.struct("decision", "reason"), "ts").alias("d"), F.max("ts").alias("_at")
     )
     joined = fixes.join(last, "fix_id", "left")
     decision = F.col("d.decision")
@@ -594,7 +595,7 @@ def review_fixes(fixes: DataFrame, diagnoses: DataFrame, decisions: DataFrame) -
         .otherwise("open")
     )
     marks = moved.where("_changed").groupBy("diagnosis_id").agg(
-        F.max_by(F.struct(effect.alias("to"), F.col("_new").alias("by")), "fix_id").alias("m")
+        F.max_by(F.struct(effect.alias("to"), F.col("_new").alias("by")), F.struct("_at", "fix_id")).alias("m")
     )
     rejected = F.col("m.by") == "rejected"
     allowed = F.col("m").isNotNull() & (~rejected | F.col("status").isin("open", "fixing"))
