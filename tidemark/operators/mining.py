@@ -235,9 +235,39 @@ def negative_findings(
     return stale.unionByName(gate).unionByName(unexplained)
 
 
+def mine_log(mined: DataFrame, detail, chunks: DataFrame, docs: DataFrame, sources: DataFrame) -> DataFrame:
+    """The findings of all rules about some traces, from the stored tables of the trace log.
+
+    ``detail`` gives a table of details by its name (see ``sources.trace_store``); only rows of the mined
+    traces are read on.  ``chunks`` carry text, context, aliases and flags; ``docs`` status, tier, title, uri and
+    content_hash; ``sources`` uri and source_hash as found now.
+    """
+    from ..session import cut_lineage
+
+    mined = cut_lineage(mined, "mined")
+    ids = mined.select("trace_id")
+
+    def of(table: str) -> DataFrame:
+        return detail(table).join(ids, "trace_id", "left_semi")
+
+    rescues, citations = of("trace_rescues"), of("trace_citations")
+    contradicted = of("trace_claims").where(F.size("contradicting") > 0)
+    errors = of("trace_steps").where(F.col("error").isNotNull())
+    open_parts = of("trace_subqueries").where(~F.coalesce("answered", F.lit(False))).withColumnRenamed("subq", "position")
+    evidence = of("trace_evidence")
+    found = rescue_findings(mined, rescues.drop("doc_id"), of("trace_rewrites"), chunks, docs)
+    found = found.unionByName(unsupported_findings(mined, of("trace_unsupported")))
+    found = found.unionByName(conflict_findings(mined, contradicted, evidence.join(contradicted, "trace_id", "left_semi")))
+    found = found.unionByName(gap_findings(mined, rescues, errors, open_parts))
+    found = cut_lineage(found.unionByName(injection_findings(mined, evidence, chunks)), "findings")
+    return found.unionByName(negative_findings(mined, citations, docs, sources, found))
+
+
 # ------------------------------------------------------------------ diagnoses
 
 _KEY = ["kb_id", "root_cause", "target"]
+_DIAGNOSIS = """diagnosis_id string, kb_id string, root_cause string, target string, status string, impact double, n_traces long, summary string,
+question string, doc_id string, chunk_id string, tier string, url string, user_words array<string>, doc_words array<string>"""
 
 
 def diagnosis_traces(findings: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -274,10 +304,8 @@ def diagnosis_words(findings: DataFrame, limit: int | None = None) -> DataFrame:
     )
 
 
-def upsert_diagnoses(findings: DataFrame, known_traces: DataFrame | None = None) -> DataFrame:
-    """Diagnoses per base, cause and target: impact, trace count, words, latest summary."""
-    traces = diagnosis_traces(findings, known_traces)
-    impact = traces.groupBy(*_KEY).agg(F.sum("severity").alias("impact"), F.count(F.lit(1)).alias("n_traces"))
+def diagnosis_details(findings: DataFrame, limit: int | None = None) -> DataFrame:
+    """What the findings of a diagnosis say: latest summary, what was first asked and found, words."""
     at = F.struct("seen_at", "trace_id")
     latest = findings.groupBy(*_KEY).agg(
         F.max_by("summary", at).alias("summary"),
@@ -287,9 +315,84 @@ def upsert_diagnoses(findings: DataFrame, known_traces: DataFrame | None = None)
         F.max("tier").alias("tier"),
         F.min_by("url", at).alias("url"),
     )
-    return impact.join(latest, _KEY, "left").join(diagnosis_words(findings), _KEY, "left").withColumn(
-        "status", F.lit("open")
+    return latest.join(diagnosis_words(findings, limit), _KEY, "left")
+
+
+def upsert_diagnoses(findings: DataFrame, known_traces: DataFrame | None = None) -> DataFrame:
+    """Diagnoses per base, cause and target: impact, trace count, words, latest summary."""
+    traces = diagnosis_traces(findings, known_traces)
+    impact = traces.groupBy(*_KEY).agg(F.sum("severity").alias("impact"), F.count(F.lit(1)).alias("n_traces"))
+    return impact.join(diagnosis_details(findings), _KEY, "left").withColumn("status", F.lit("open"))
+
+
+def merge_findings(
+    findings: DataFrame, diagnoses: DataFrame | None, traces: DataFrame | None, cycle: str, limit: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Diagnoses and their traces after a cycle's findings.
+
+    ``diagnoses``: diagnosis_id, kb_id, root_cause, target, status, impact, n_traces, summary,
+    question, doc_id, chunk_id, tier, url, user_words, doc_words; at most one of a base, cause and
+    target is open.  ``traces``: diagnosis_id, trace_id, severity, seen_at.  Both are None at first.
+
+    Findings join the open diagnosis of their base, cause and target: a trace raises its impact
+    once, by the severity it first came with; words are added behind those it has (the first
+    ``limit`` are kept, if given), the summary is the latest, what was first asked and found stays.
+    Where there is none (or only closed ones) a diagnosis opens, its id made from the cycle
+    and the three, so that a cycle run again finds its own diagnoses and changes nothing.
+    """
+    named = F.to_json(F.struct(*_KEY))
+    rows = findings.withColumn("_named", named)
+    fresh_id = F.sha2(F.concat_ws("|", F.lit(cycle), "_named"), 256)
+    if diagnoses is None:
+        spark = findings.sparkSession
+        diagnoses = spark.createDataFrame([], _DIAGNOSIS)
+        traces = spark.createDataFrame([], "diagnosis_id string").select(
+            "diagnosis_id", F.lit(None).cast(dict(findings.dtypes)["trace_id"]).alias("trace_id"), F.lit(None).cast("double").alias("severity"),
+            F.lit(None).cast("timestamp").alias("seen_at"),
+        )
+    is_open = F.col("status").isin(*OPEN)
+    opened = diagnoses.where(is_open).withColumn("_named", named)
+    places = opened.select("_named", F.col("diagnosis_id").alias("_open"))
+
+    met = rows.groupBy("_named", "trace_id").agg(F.min(F.struct("seen_at", "severity")).alias("_first"))
+    met = met.select("_named", "trace_id", "_first.*")
+    met = met.join(places, "_named", "left").withColumn("diagnosis_id", F.coalesce("_open", fresh_id))
+    new = met.select("diagnosis_id", "trace_id", "severity", "seen_at").join(
+        traces.select("diagnosis_id", "trace_id"), ["diagnosis_id", "trace_id"], "left_anti"
+    )
+    gain = new.groupBy("diagnosis_id").agg(F.sum("severity").alias("_more"), F.count(F.lit(1)).alias("_n"))
+
+    told = diagnosis_details(findings, limit).withColumn("_named", named)
+    said = told.select("_named", *[F.col(c).alias(f"_{c}") for c in ("summary", "user_words", "doc_words")])
+    none = F.array().cast("array<string>")
+
+    def words(column: str):
+        both = F.array_distinct(F.concat(F.coalesce(column, none), F.coalesce(f"_{column}", none)))
+        both = both if limit is None else F.slice(both, 1, limit)
+        return F.when(F.size(both) > 0, both)
+
+    kept = (
+        opened.join(said, "_named", "left")
+        .withColumn("summary", F.coalesce("_summary", "summary"))
+        .withColumn("user_words", words("user_words"))
+        .withColumn("doc_words", words("doc_words"))
+        .select(*diagnoses.columns)
+    )
+    first = (
+        told.join(places, "_named", "left_anti")
+        .withColumn("diagnosis_id", fresh_id)
+        .withColumn("status", F.lit("open"))
+        .withColumn("impact", F.lit(0.0))
+        .withColumn("n_traces", F.lit(0).cast("long"))
+    )
+    lacking = [F.lit(None).cast(kind).alias(c) for c, kind in diagnoses.dtypes if c not in first.columns]
+    first = first.select("*", *lacking).select(*diagnoses.columns)
+    live = kept.unionByName(first).join(gain, "diagnosis_id", "left")
+    live = live.withColumn("impact", F.col("impact") + F.coalesce("_more", F.lit(0.0))).withColumn(
+        "n_traces", F.col("n_traces") + F.coalesce("_n", F.lit(0))
     )
+    closed = diagnoses.where(~F.coalesce(is_open, F.lit(False)))
+    return closed.unionByName(live.select(*diagnoses.columns)), traces.unionByName(new.select(*traces.columns))
 
 
 def propose_fixes(
@@ -571,6 +674,78 @@ def roll_back_documents(docs: DataFrame, inverse: DataFrame, undone: DataFrame |
     return _with_latest(docs, edits)
 
 
+def setting_edits(fixes: DataFrame) -> DataFrame:
+    """What applied configuration fixes set: fix_id, kb_id, name, value, applied_at.
+
+    ``fixes``: fix_id, kb_id, kind, params (map), applied_at.  A threshold and a prompt are one
+    setting of the base, a boost is one per document, an alias one per phrase.
+    """
+    p = F.col("params")
+
+    def one(kind: str, name: Column, value: Column) -> Column:
+        return F.when(F.col("kind") == kind, F.array(F.struct(name.alias("name"), value.alias("value"))))
+
+    phrases = F.filter(F.split(F.coalesce(p["phrases"], F.lit("")), ","), lambda w: w != "")
+    aliases = F.transform(phrases, lambda w: F.struct(F.concat(F.lit("alias:"), w).alias("name"), p["expansions"].alias("value")))
+    sets = F.coalesce(
+        one("gate_threshold", F.lit("gate_threshold"), p["value"]),
+        one("improve_prompt", F.concat(F.lit("prompt:"), p["prompt"]), p["text"]),
+        one("doc_boost", F.concat(F.lit("boost:"), p["doc_id"]), p["boost"]),
+        F.when(F.col("kind") == "add_alias", aliases),
+    )
+    rows = fixes.select(F.col("fix_id").cast("string").alias("fix_id"), "kb_id", "applied_at", F.inline(sets))
+    return rows.where(F.col("value").isNotNull() & F.col("name").isNotNull()).select("fix_id", "kb_id", "name", "value", "applied_at")
+
+
+def apply_setting_fixes(settings: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Settings (kb_id, name, value) after the edits, and what undoes each of them.
+
+    Edits of one setting take effect in the order of ``applied_at``.  The inverse is the edit with
+    ``before``, the value just before it, null where the setting did not exist.
+    """
+    key = ["kb_id", "name"]
+    turn = Window.partitionBy(*key).orderBy("applied_at", "fix_id")
+    was = settings.select(*key, F.col("value").alias("_was"))
+    inverse = edits.join(was, key, "left").withColumn("before", F.coalesce(F.lag("value").over(turn), "_was")).drop("_was")
+    last = edits.groupBy(*key).agg(F.max_by("value", F.struct("applied_at", "fix_id")).alias("_new"))
+    after = settings.join(last, key, "full").select(*key, F.coalesce("_new", "value").alias("value"))
+    return after, inverse
+
+
+def roll_back_settings(settings: DataFrame, inverse: DataFrame, undone: DataFrame) -> DataFrame:
+    """Settings without the fixes ``undone`` (fix_id).
+
+    A setting gets the value of its latest edit that stays, else the one before its first; one that
+    did not exist before and has no edit left goes.  Settings no undone fix set stay as they are,
+    later changes included.
+    """
+    key = ["kb_id", "name"]
+    gone_ids = undone.select(F.col("fix_id").cast("string").alias("fix_id")).distinct().withColumn("_gone", F.lit(True))
+    marked = inverse.join(gone_ids, "fix_id", "left").withColumn("_gone", F.coalesce("_gone", F.lit(False)))
+    at = F.struct("applied_at", "fix_id")
+    per = marked.groupBy(*key).agg(
+        F.max_by(F.when(~F.col("_gone"), F.col("value")), F.when(~F.col("_gone"), at)).alias("_stays"),
+        F.min_by("before", at).alias("_first"),
+        F.bool_or("_gone").alias("_any"),
+    )
+    out = settings.join(per.where("_any"), key, "left")
+    value = F.when(F.coalesce("_any", F.lit(False)), F.coalesce("_stays", "_first")).otherwise(F.col("value"))
+    return out.select(*key, value.alias("value")).where(F.col("value").isNotNull())
+
+
+def chunk_fix_roll_backs(fixes: DataFrame, docs: DataFrame, undone: DataFrame) -> DataFrame:
+    """Which documents staged-chunk fixes put back: doc_id, fix_id, ok.
+
+    ``fixes``: fix_id, kind, doc_id, version (the version the fix made live).  A document that has changed
+    since cannot be put back (``ok`` is false); the others go to ``corpus.roll_back`` or the
+    chunk store's.
+    """
+    staged = fixes.where(F.col("kind").isin(*fixed.STAGED_FIXES, "recrawl_doc"))
+    asked = staged.join(undone.select("fix_id").distinct(), "fix_id", "left_semi")
+    now = docs.select("doc_id", F.col("version").alias("_now"))
+    return asked.join(now, "doc_id", "left").select("doc_id", "fix_id", F.coalesce(F.col("_now") == F.col("version"), F.lit(False)).alias("ok"))
+
+
 def review_fixes(fixes: DataFrame, diagnoses: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Human decisions on fixes.  ``decisions``: fix_id, decision (approve / reject /
     roll_back), reason, ts; the latest per fix counts and only from a state it may leave.

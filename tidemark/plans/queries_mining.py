@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import mining
-from ..session import cut_lineage
+from ..session import cut_lineage, new_folder
+from ..sources.trace_store import DETAILS, TraceStore
 from . import oracle as o
 from .catalog import query
 
@@ -195,6 +198,95 @@ def _(t):
     return d.select("kb_id", "root_cause", "target", F.round("impact", 4).alias("impact"), "n_traces")
 
 
+# ------------------------------------------------------------------ the stored trace log
+
+CUT = "2024-01-16"
+_CUT = f"created_at < TIMESTAMP '{CUT}'"
+
+
+def stored_log(log: Log) -> dict:
+    """The nine tables of details of the whole log."""
+    said = F.array(F.lit("c"))
+    return {
+        "trace_subqueries": log.unanswered.select("trace_id", F.col("position").alias("subq"), "question", F.lit(False).alias("answered")),
+        "trace_evidence": log.evidence,
+        "trace_claims": log.conflicts.select("trace_id", F.lit(0).alias("sentence"), said.alias("contradicting")),
+        "trace_citations": log.evidence.withColumn("sentence", F.lit(0)),
+        "trace_heals": log.rescues.select("trace_id", F.lit(1).alias("round"), F.lit("retrieval").alias("arm")),
+        "trace_rescues": log.rescues,
+        "trace_rewrites": log.rewrites,
+        "trace_unsupported": log.dropped,
+        "trace_steps": log.errors.select("trace_id", F.lit(0).alias("step"), F.lit("answer").alias("stage"), F.lit("no call").alias("error")),
+    }
+
+
+def write_runs(store: TraceStore, log: Log, runs=("early", "late")) -> list[bool]:
+    """The log as two runs, those before ``CUT`` and the rest."""
+    details = stored_log(log)
+    early = F.col("created_at") < F.lit(CUT).cast("timestamp")
+    return [store.write(run, log.traces.where(early if run == "early" else ~early), details) for run in runs]
+
+
+def _sizes(store: TraceStore):
+    out = store.traces().groupBy(F.lit("traces").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    for name in DETAILS:
+        out = out.unionByName(store.detail(name).groupBy(F.lit(name).alias("name")).agg(F.count(F.lit(1)).alias("n")))
+    return out
+
+
+@query(
+    "a6_trace_store",
+    o.with_views(
+        "traces_v",
+        """n_v AS (SELECT count(*) AS n, count(*) FILTER (healed) AS healed, count(*) FILTER (contradiction >= 0.4) AS clash, count(*) FILTER (llm_calls = 0) AS dead,
+          count(*) FILTER (status = 'partial') AS partial,
+          count(*) FILTER (healed AND trace_id % (SELECT max(doc_id) + 1 FROM documents) IN (SELECT doc_id FROM documents)) AS reworded FROM traces_v)
+        SELECT unnest(['traces', 'trace_subqueries', 'trace_evidence', 'trace_claims', 'trace_citations', 'trace_heals', 'trace_rescues', 'trace_rewrites',
+          'trace_unsupported', 'trace_steps']) AS name, unnest([n, n, 2 * n, clash, 2 * n, healed, healed, reworded, partial, dead]) AS n FROM n_v""",
+    ),
+)
+def _(t):
+    store, log = TraceStore(t.spark, new_folder(t.spark, "trace-log"), "long", "long"), Log(t)
+    write_runs(store, log)
+    write_runs(store, log)  # a retried write changes nothing
+    return _sizes(store)
+
+
+_REOPENED = _MINED.replace("NOT (status IN", "(negative_signal OR NOT (status IN").replace("AND NOT healed)\n", "AND NOT healed))\n")
+
+
+@query(
+    "i10_merged_diagnoses",
+    o.with_views("traces_v citations_v chunks_v", _REOPENED + _RESCUE + _OTHERS)
+    + f""", f1 AS (SELECT * FROM all_v WHERE {_CUT}),
+      f2 AS (SELECT a.* FROM all_v a JOIN mined_v m USING (trace_id) WHERE NOT a.{_CUT} OR m.negative_signal AND m.k % 2 = 0),
+      both_v AS (SELECT *, 'open' AS status FROM f1 WHERE root_cause <> 'missing_content' UNION ALL SELECT *, 'open' FROM f2 UNION ALL
+        SELECT *, 'fixed' FROM f1 WHERE root_cause = 'missing_content'),
+      once_v AS (SELECT kb_id, root_cause, target, status, trace_id, max(severity) AS severity FROM both_v GROUP BY ALL)
+    SELECT kb_id, root_cause, target, status, round(sum(severity), 4) AS impact, count(*) AS n_traces FROM once_v GROUP BY 1, 2, 3, 4""",
+)
+def _(t):
+    """Two cycles over a stored log: the second meets diagnoses of the first, some of them closed since, and traces it has seen."""
+    store, log = TraceStore(t.spark, new_folder(t.spark, "trace-log"), "long", "long"), Log(t)
+    marked = t.marked_chunks()
+    book, members = None, None
+    for run, looked_at in (("early", datetime(2024, 2, 1)), ("late", datetime(2024, 4, 1))):
+        write_runs(store, log, [run])
+        # bad feedback comes with the question, for some again after the first cycle
+        again = F.when((F.pmod("k", F.lit(2)) == 0) & F.lit(run == "late"), F.lit("2024-03-01").cast("timestamp"))
+        bad = log.traces.where("negative_signal").select(
+            "trace_id", F.lit("explicit").alias("kind"), F.lit(-1).alias("rating"), F.coalesce(again, "created_at").alias("ts")
+        )
+        mined = cut_lineage(mining.mine_failures(store.traces(bad)), "mined")
+        found = cut_lineage(mining.mine_log(mined, store.detail, marked, log.docs, log.sources), "findings")
+        if book is not None:
+            closed = F.when(F.col("root_cause") == "missing_content", "fixed").otherwise(F.col("status"))
+            book = book.withColumn("status", closed)
+        book, members = (cut_lineage(d, "book") for d in mining.merge_findings(found, book, members, run))
+        store.mark_mined(run, mined, looked_at)
+    return book.select("kb_id", "root_cause", "target", "status", F.round("impact", 4).alias("impact"), "n_traces")
+
+
 def _diagnoses(t):
     return cut_lineage(mining.upsert_diagnoses(cut_lineage(Log(t).findings(), "findings")), "diagnoses")
 
@@ -400,6 +492,42 @@ def _(t):
     return states.unionByName(more).unionByName(docs.agg(F.count(F.lit(1)).alias("n")))
 
 
+def _setting_fixes(t):
+    """Configuration fixes that the log's traces would propose: a threshold, a boost or aliases of their base."""
+    kinds = F.array(*[F.lit(k) for k in ("gate_threshold", "doc_boost", "add_alias")])
+    params = F.create_map(
+        F.lit("value"), F.round(F.col("k") / 100, 2).cast("string"),
+        F.lit("doc_id"), F.pmod("trace_id", F.lit(t.n_docs())).cast("string"),
+        F.lit("boost"), F.col("llm_calls").cast("string"),
+        F.lit("phrases"), F.concat(F.lit("a"), F.pmod("k", F.lit(9)).cast("string"), F.lit(",b"), F.pmod("k", F.lit(4)).cast("string")),
+        F.lit("expansions"), F.col("query"),
+    )
+    kind = F.get(kinds, F.pmod("trace_id", F.lit(3)).cast("int"))
+    return t.traces().select(F.col("trace_id").alias("fix_id"), "kb_id", kind.alias("kind"), params.alias("params"), F.col("created_at").alias("applied_at"), "negative_signal")
+
+
+@query(
+    "i19_setting_edits",
+    o.with_views(
+        "traces_v",
+        """e AS (SELECT kb_id, trace_id, created_at, negative_signal AS gone, unnest(CASE trace_id % 3 WHEN 0 THEN ['gate_threshold']
+             WHEN 1 THEN ['boost:' || (trace_id % (SELECT max(doc_id) + 1 FROM documents))] ELSE ['alias:a' || (k % 9), 'alias:b' || (k % 4)] END) AS name,
+             CASE trace_id % 3 WHEN 0 THEN round(k / 100.0::DOUBLE, 2)::VARCHAR WHEN 1 THEN llm_calls::VARCHAR ELSE query END AS value FROM traces_v),
+        base AS (SELECT DISTINCT kb_id, 'gate_threshold' AS name, '0.2' AS value FROM traces_v),
+        r AS (SELECT kb_id, name, arg_max(value, (created_at, trace_id::VARCHAR)) AS after,
+             arg_max(value, (created_at, trace_id::VARCHAR)) FILTER (NOT gone) AS stays FROM e GROUP BY 1, 2)
+        SELECT kb_id, name, r.after, coalesce(r.stays, base.value) AS restored FROM r LEFT JOIN base USING (kb_id, name)""",
+    ),
+)
+def _(t):
+    fixes = _setting_fixes(t)
+    settings = fixes.select("kb_id", F.lit("gate_threshold").alias("name"), F.lit("0.2").alias("value")).distinct()
+    after, inverse = mining.apply_setting_fixes(settings, mining.setting_edits(fixes))
+    after, inverse = cut_lineage(after, "settings"), cut_lineage(inverse, "inverse")
+    back = mining.roll_back_settings(after, inverse, fixes.where("negative_signal").select("fix_id"))
+    return after.withColumnRenamed("value", "after").join(back.withColumnRenamed("value", "restored"), ["kb_id", "name"], "left")
+
+
 @query(
     "i20_cycle_report",
     mined_sql(
