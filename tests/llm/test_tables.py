@@ -236,6 +236,27 @@ def test_nearest_neighbours(spark):
     assert [(r["rank"]) for r in sorted(few, key=lambda r: r["rank"])] == [1, 2]
 
 
+def test_a_graph_of_many_blocks_with_copies(spark):
+    """32 blocks to start from; a query measures a part of the table; a third of the rows are one vector."""
+    x = np.random.default_rng(5).normal(size=(1200, 16))
+    x[::3] = x[0]
+    table = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(x)], "vec_id long, embedding array<double>, vertex string").repartition(3)
+    visits: list[int] = []
+    got = neighbours.nearest(table, F.pmod("id", F.lit(25)) == 0, degree=12, breadth=16, block=32, visits=visits).collect()
+    hits = 0
+    for q in range(0, 1200, 25):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        want = sorted(range(1200), key=lambda i: (d[i], i))[:10]
+        mine = [r.id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])]
+        if q % 3 == 0:
+            assert mine == want and all(r.score == 0 for r in got if r.query_id == q)
+        assert len(mine) == 10 and mine == sorted(mine, key=lambda i: (round(d[i], 9), i))
+        hits += len(set(mine) & set(want))
+    assert hits >= 0.95 * 480
+    assert sum(visits) < 0.5 * 800 * 33  # 801 vertices; 32 queries that are no copies and one vertex of all copies
+
+
 def test_all_ends_of_a_vector_meet(spark):
     """60 ends around vector 0, the star's centre, and 400 around vector 100: none is left out."""
     for centre, leaves in ((0, 60), (100, 400)):
