@@ -1,5 +1,9 @@
 """Streams give what the batch operators give on the same rows."""
 
+import datetime
+import glob
+import os
+import random
 import re
 import uuid
 
@@ -21,16 +25,83 @@ def test_rate_stream_equals_batch(spark):
     t, s = Tables(spark, SF), StreamTables(spark, SF)
     pick = lambda d: d.select(F.col("trace_id").alias("request_id"), F.col("user_id").alias("key"), "created_at")
     batch = jobs.rates_in_window(pick(t.traces()), 3600).select("key", "request_id", "n_recent")
-    assert rows(run(s, jobs.rate_stream(pick(s.traces()), 3600), ["key", "request_id"], "append")) == rows(batch)
+    assert rows(run(s, jobs.rate_stream(pick(s.traces()), 3600), ["key", "request_id"])) == rows(batch)
 
 
 def test_rephrase_stream_equals_batch(spark):
     t, s = Tables(spark, SF), StreamTables(spark, SF)
     batch = signals.rephrases(t.turns(), threshold=0.05).select("session_id", "trace_id", "rephrase_of")
-    got = run(s, jobs.rephrase_stream(s.turns(), 0.05), ["session_id", "trace_id"], "append")
+    got = run(s, jobs.rephrase_stream(s.turns(), 0.05), ["session_id", "trace_id"]).where("rephrase_of is not null")
     assert rows(got.select("session_id", "trace_id", "rephrase_of")) == rows(batch) and batch.count() > 0
 
 
+def in_triggers(spark, folder, batches, schema):
+    """A stream of given batches, one to a trigger, in their order."""
+    for n, some in enumerate(batches):
+        path = f"{folder}/{n}"
+        spark.createDataFrame(some, schema).coalesce(1).write.parquet(path)
+        for f in glob.glob(f"{path}/*.parquet"):
+            os.utime(f, (1_000_000 + n, 1_000_000 + n))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+
+
+def test_rates_follow_late_rows_in_any_triggers(spark, tmp_path):
+    draw = random.Random(5)
+    start = datetime.datetime(2024, 3, 1, tzinfo=datetime.UTC)
+    # whole and half seconds, so that gaps of exactly a minute are among them; a key with most rows
+    times = [start + datetime.timedelta(seconds=draw.randrange(1200) / 2) for _ in range(400)]
+    data = [(n, "hot" if n % 4 else f"k{n % 3}", at) for n, at in enumerate(times)]
+    schema = "request_id long, key string, created_at timestamp"
+    batch = rows(jobs.rates_in_window(spark.createDataFrame(data, schema)).select("key", "request_id", "n_recent"))
+    for size in (400, 67):
+        draw.shuffle(data)
+        stream = in_triggers(spark, str(tmp_path / str(size)), [data[i : i + size] for i in range(0, 400, size)], schema)
+        got = run(Tables(spark, SF), jobs.rate_stream(stream, late="1 hour"), ["key", "request_id"])
+        assert rows(got) == batch
+
+
+def test_rates_drop_state_and_rows_behind_the_watermark(spark, tmp_path):
+    def at(minute):
+        return datetime.datetime(2024, 3, 1, tzinfo=datetime.UTC) + datetime.timedelta(minutes=minute)
+
+    batches = [[(1, "k", at(0))], [(2, "k", at(60))], [(3, "k", at(61))], [(4, "k", at(0.5)), (5, "k", at(61.5))]]
+    stream = in_triggers(spark, str(tmp_path / "in"), batches, "request_id long, key string, created_at timestamp")
+    seen = []
+    folder = str(tmp_path / "check")
+    jobs.run_now(jobs.rate_stream(stream), lambda df, n: seen.append((n, rows(df))), checkpoint=folder)
+    told = [r for _, some in seen for r in some]
+    assert sorted(told) == [("k", 1, 1), ("k", 2, 1), ("k", 3, 2), ("k", 5, 2)]  # 4 is an hour late
+    state = spark.read.format("statestore").option("stateVarName", "rows").load(folder)
+    assert {r["id"] for r in state.select("list_element.id").collect()} == {2, 3, 5}  # the first is gone
+
+
+def test_a_late_question_takes_a_rephrase_back(spark, tmp_path):
+    def at(second):
+        return datetime.datetime(2024, 3, 1, tzinfo=datetime.UTC) + datetime.timedelta(seconds=second)
+
+    one, two, other = "reset router password", "router password reset steps", "holiday calendar berlin"
+    batches = [
+        [(1, "kb", "s", one, at(0)), (2, "kb", "s", two, at(100)), (9, "kb", None, one, at(100))],
+        [(3, "kb", "s", other, at(50))],  # came late and stands between
+        [(4, "kb", "s", one, at(280)), (5, "kb", "t", two, at(281)), (6, "kb", "s", one.upper(), at(290)), (7, "kb", "s", two, at(471))],
+    ]
+    schema = "trace_id long, kb_id string, session_id string, query string, created_at timestamp"
+    stream = in_triggers(spark, str(tmp_path / "in"), batches, schema)
+    seen = {}
+    path = str(tmp_path / "out")
+
+    def write(df, n):
+        seen[n] = {(r.trace_id, r.rephrase_of) for r in df.collect()}
+        jobs.batch_writer(path)(df, n)
+
+    jobs.run_now(jobs.rephrase_stream(stream), write)
+    assert seen[0] == {(2, 1)} and seen[1] == {(2, None)} and seen[2] == {(4, 2)}
+    last = jobs.latest(spark, path, ["kb_id", "session_id", "trace_id"]).where("rephrase_of is not null")
+    batch = signals.rephrases(spark.createDataFrame([r for some in batches for r in some], schema))
+    pick = ["kb_id", "session_id", "trace_id", "rephrase_of", "similarity"]
+    assert rows(last.select(*pick)) == rows(batch.select(*pick)) and last.count() == 1
+
+
 def test_ingest_adds_versions_only_for_changes(spark):
     t = Tables(spark, SF)
     log = ingestion.CorpusLog(spark, out_path(t, "corpus-" + uuid.uuid4().hex[:6]))

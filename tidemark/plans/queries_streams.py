@@ -72,15 +72,31 @@ def _(t):
     return rates.select("trace_id", "n_recent")
 
 
-@query("k3_rate_stream")
+@query(
+    "k3_rate_stream",
+    """SELECT user_id AS key, event_id AS request_id,
+    count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW) AS n_recent FROM events""",
+)
 def _(t):
     rows = streamed(t).traces().select(F.col("trace_id").alias("request_id"), F.col("user_id").alias("key"), "created_at")
-    return run(t, jobs.rate_stream(rows), ["key", "request_id"], "append")
+    return run(t, jobs.rate_stream(rows), ["key", "request_id"])
 
 
-@query("k4_rephrase_stream")
+@query(
+    "k4_rephrase_stream",
+    o.with_views(
+        "turns_v",
+        f"""p AS (SELECT session_id, trace_id, lag(trace_id) OVER w AS prev_id, created_at, lag(created_at) OVER w AS prev_at,
+             query, lag(query) OVER w AS prev_q FROM turns_v WINDOW w AS (PARTITION BY session_id ORDER BY created_at)),
+        x AS (SELECT *, {o.content_terms('query')} AS a, {o.content_terms('prev_q')} AS b FROM p
+              WHERE prev_id IS NOT NULL AND lower(query) <> lower(prev_q) AND created_at - prev_at <= INTERVAL 3 MINUTE)
+        SELECT session_id, trace_id, prev_id AS rephrase_of, round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(a || b)), 4) AS similarity
+        FROM x WHERE len(a) > 0 AND len(b) > 0 AND len(list_intersect(a, b))::DOUBLE / len(list_distinct(a || b)) >= 0.1""",
+    ),
+)
 def _(t):
-    return run(t, jobs.rephrase_stream(streamed(t).turns(), threshold=0.1), ["session_id", "trace_id"], "append")
+    told = run(t, jobs.rephrase_stream(streamed(t).turns(), threshold=0.1), ["kb_id", "session_id", "trace_id"])
+    return told.where("rephrase_of is not null").select("session_id", "trace_id", "rephrase_of", F.round("similarity", 4).alias("similarity"))
 
 
 @query(

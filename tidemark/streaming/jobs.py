@@ -4,30 +4,31 @@
 from __future__ import annotations
 
 import uuid
-from bisect import bisect_left, bisect_right, insort
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from ..functions import fixed, text
 from ..operators import signals
 from ..session import shared_folder
+from . import spans
 
 
 def run_now(stream: DataFrame, write: Callable[[DataFrame, int], None], mode: str = "update", checkpoint: str | None = None) -> None:
-    """Process everything that is available, then stop."""
-    folder = checkpoint or f"{shared_folder(stream.sparkSession).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    (
-        stream.writeStream.outputMode(mode)
-        .foreachBatch(write)
-        .option("checkpointLocation", folder)
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
-    )
+    """Process everything that is available, then stop.  State lies in RocksDB, its changes in the checkpoint."""
+    spark = stream.sparkSession
+    folder = checkpoint or f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    before = {name: spark.conf.get(name, None) for name in spans.SETTINGS}
+    for name, value in spans.SETTINGS.items():
+        spark.conf.set(name, value)
+    try:  # a stream takes the settings of its start along
+        started = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", folder).trigger(availableNow=True).start()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    started.awaitTermination()
 
 
 def batch_writer(path: str) -> Callable[[DataFrame, int], None]:
@@ -129,88 +130,49 @@ def over_limit(rates: DataFrame, limit: int) -> DataFrame:
     return rates.where(F.col("n_recent") > limit)
 
 
-def _by_time(pdfs: Iterator[pd.DataFrame], *order: str) -> pd.DataFrame:
-    """A key's rows of one trigger, whose size the source bounds, in time order."""
-    return pd.concat(list(pdfs), ignore_index=True).sort_values(list(order), kind="stable")
-
-
-def rate_stream(requests: DataFrame, seconds: int = 60) -> DataFrame:
-    """Streaming form of :func:`rates_in_window`: state is the recent times of a key, in order.
+def rate_stream(requests: DataFrame, seconds: int = 60, late: str = "10 minutes") -> DataFrame:
+    """Streaming form of :func:`rates_in_window`, for output mode update.
 
-    A row counts the times up to its own.  Rows behind the watermark are dropped; a row that
-    comes after a later one of its key was counted does not change that one's count.
+    A request is told its count when it comes, and again when one that came late changes it; the
+    last count of each (:func:`latest`) is the batch form's.  Requests later than ``late`` are dropped.
     """
-
-    def count(key, pdfs, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        recent = list(state.get[0]) if state.exists else []
-        out = []
-        for pdf in pdfs:
-            for r in pdf.sort_values(["at", "request_id"], kind="stable").itertuples(index=False):
-                insort(recent, r.at)
-                out.append((key[0], r.request_id, bisect_right(recent, r.at) - bisect_left(recent, r.at - seconds)))
-            del recent[: bisect_left(recent, recent[-1] - 2 * seconds)]  # rows late by up to the watermark still find theirs
-        state.update((recent,))
-        state.setTimeoutTimestamp(max(int(recent[-1] * 1000) + seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["key", "request_id", "n_recent"])
-
     kinds = dict(requests.dtypes)
-    return (
-        requests.withColumn("at", F.col("created_at").cast("double"))
-        .withWatermark("created_at", f"{seconds} seconds")
-        .groupBy("key")
-        .applyInPandasWithState(
-            count,
-            f"key {kinds['key']}, request_id {kinds['request_id']}, n_recent long",
-            "recent array<double>",
-            "append",
-            GroupStateTimeout.EventTimeTimeout,
-        )
-    )
+    rows = spans.in_spans(requests.withWatermark("created_at", late), seconds)
+    kept = _schema(f"id {kinds['request_id']}, at long, own boolean")
+    told = f"key {kinds['key']}, request_id {kinds['request_id']}, n_recent long"
+    keyed = rows.select("key", "span", F.col("request_id").alias("id"), "at", "own", "created_at").groupBy("key", "span")
+    return keyed.transformWithStateInPandas(spans.Rates(kept, seconds * 1_000_000), told, "Update", "EventTime")
 
 
 def rephrase_stream(
-    traces: DataFrame, threshold: float = fixed.REPHRASE_JACCARD, window_s: int = fixed.REPHRASE_SECONDS
+    traces: DataFrame, threshold: float = fixed.REPHRASE_JACCARD, window_s: int = fixed.REPHRASE_SECONDS, late: str = "10 minutes"
 ) -> DataFrame:
-    """Streaming rephrase detection: state is the session's last question.
+    """Streaming form of :func:`signals.rephrases`, for output mode update.
 
-    Within a trigger questions are taken in event order; an idle session's state expires, and
-    rows behind the watermark are dropped.
+    A question is told what it rephrases when it comes, and again when one that came late stands
+    between; without ``rephrase_of`` it does so no longer.  The last row of each question
+    (:func:`latest`) with a ``rephrase_of`` is the batch form's.  Questions later than ``late`` are dropped.
     """
-
-    def detect(key, pdfs, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get if state.exists else None
-        out = []
-        for r in _by_time(pdfs, "at", "trace_id").itertuples(index=False):
-            terms = set(r.terms)
-            if last is not None and r.at - last[1] <= window_s and r.said != last[2]:
-                before = set(last[3])
-                alike = len(terms & before) / len(terms | before) if terms and before else 0.0
-                if alike >= threshold:
-                    out.append((key[0], r.trace_id, last[0], alike))
-            last = (r.trace_id, r.at, r.said, list(r.terms))
-        state.update(last)
-        state.setTimeoutTimestamp(max(int(last[1] * 1000) + window_s * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["session_id", "trace_id", "rephrase_of", "similarity"])
-
     kinds = dict(traces.dtypes)
-    rows = traces.withWatermark("created_at", f"{window_s} seconds").select(
+    asked = traces.where("session_id is not null")
+    if "is_eval" in traces.columns:
+        asked = asked.where(~F.col("is_eval"))
+    rows = asked.withWatermark("created_at", late).select(
+        "kb_id",
         "session_id",
-        "trace_id",
+        F.col("trace_id").alias("id"),
         "created_at",
-        F.col("created_at").cast("double").alias("at"),
         F.lower(F.trim("query")).alias("said"),
         text.content_terms(F.col("query")).alias("terms"),
     )
-    return rows.groupBy("session_id").applyInPandasWithState(
-        detect,
-        f"session_id {kinds['session_id']}, trace_id {kinds['trace_id']}, rephrase_of {kinds['trace_id']}, similarity double",
-        f"trace_id {kinds['trace_id']}, at double, said string, terms array<string>",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
+    kept = _schema(f"id {kinds['trace_id']}, at long, own boolean, said string, terms array<string>")
+    told = (
+        f"kb_id {kinds['kb_id']}, session_id {kinds['session_id']}, trace_id {kinds['trace_id']}, "
+        f"rephrase_of {kinds['trace_id']}, similarity double"
     )
+    keyed = spans.in_spans(rows, window_s).groupBy("kb_id", "session_id", "span")
+    return keyed.transformWithStateInPandas(spans.Rephrases(kept, window_s * 1_000_000, threshold), told, "Update", "EventTime")
+
+
+def _schema(ddl: str) -> StructType:
+    return StructType.fromDDL(ddl)
