@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidemark.operators import search, signals
+from tidemark.plans import catalog
 from tidemark.plans.queries_streams import StreamTables, out_path, run
 from tidemark.plans.tables import Tables
 from tidemark.streaming import ingestion, jobs
@@ -145,3 +146,18 @@ def test_ingest_reads_the_current_table_by_slice_and_keeps_postings(spark, tmp_p
     assert log.index().postings().count() == search.postings(live).count()
     assert log.fold_log(force=True) and log._since(None)[1] == []
     assert {(r.uri, r.version) for r in log.documents().collect()} == want
+
+
+def test_tables_in_folders_of_files_are_streamed(spark, tmp_path):
+    """A larger table is a folder of files; a stream of it has the rows of the table, like one of a single file."""
+    folder = str(tmp_path)
+    turns = [(c, n, "user", f"how long does part {c} last {n // 2}") for c in range(3) for n in range(0, 6, 2)]
+    schema = "conv_id long, turn long, role string, text string"
+    spark.createDataFrame(turns, schema).repartition(3).write.parquet(f"{folder}/conversations.parquet")
+    texts = [(d, "en", f"Title {d}\n\nA line about part {d}.") for d in range(4)]
+    spark.createDataFrame(texts, "doc_id long, lang string, text string").repartition(2).write.parquet(f"{folder}/documents.parquet")
+    told = catalog.QUERIES["k4_rephrase_stream"](spark, folder)
+    batch = signals.rephrases(Tables(spark, folder).turns(), threshold=0.1)
+    assert rows(told.select("session_id", "trace_id", "rephrase_of")) == rows(batch.select("session_id", "trace_id", "rephrase_of")) and batch.count() > 0
+    live = catalog.QUERIES["k1_incremental_ingest"](spark, folder)
+    assert live.select("doc_id").distinct().count() == 4

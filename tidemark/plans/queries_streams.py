@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import register, text
 from ..operators import evaluation
-from ..session import shared_folder
+from ..session import is_folder, shared_folder
 from ..streaming import ingestion, jobs
 from . import oracle as o
 from .catalog import query
@@ -20,8 +20,12 @@ class StreamTables(Tables):
 
     def __getattr__(self, name):
         still = Tables.__getattr__(self, name)
-        source = self.spark.readStream.schema(still.schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 64)
-        return source.parquet(self.folder)
+        source = self.spark.readStream.schema(still.schema).option("maxFilesPerTrigger", 64)
+        table = f"{self.folder}/{name}.parquet"
+        if is_folder(self.spark, table):
+            return source.parquet(table)
+        # a stream reads folders, so a table in one file is the folder around it, narrowed to that file
+        return source.option("pathGlobFilter", f"{name}.parquet").parquet(self.folder)
 
 
 def out_path(t, name):
