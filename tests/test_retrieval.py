@@ -2,12 +2,14 @@
 
 import math
 import random
+from collections import Counter
 from dataclasses import replace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import fixed
 from tidemark.functions.fixed import DEFAULTS
 from tidemark.operators import ranking, search, vector_index
 
@@ -148,3 +150,34 @@ def test_rules_apply_in_order_and_are_logged(spark):
     got = {r["chunk_id"]: r for r in ranking.apply_rules(cand, docs, boosts).collect()}
     assert got["a"]["final"] == pytest.approx(0.3 * 0.5 * 1.05) and got["b"]["final"] == pytest.approx(2.0 * 1.1)
     assert [x["rule"] for x in got["a"]["rules"]] == ["injection_demote", "quarantine_demote", "freshness"]
+
+
+def test_bm25_in_blocks_equals_the_sum_of_all_pairs(spark, monkeypatch):
+    """No row per question and chunk leaves a block, only its best; ties, repeated rows and masks as in the plain sum."""
+    texts = [f"alpha {'beta ' * (n % 3)}word{n % 4} de la gamma{n % 2}" for n in range(40)] + ["alpha beta"] * 6
+    data = [("a" if n % 7 else "b", f"c{n}", t, n % 5 > 0, True) for n, t in enumerate(texts)]
+    data += data[3:5]  # rows that come twice count as one of twice the terms
+    chunks = spark.createDataFrame(data, "kb_id string, chunk_id string, text string, allowed boolean, escalated boolean")
+    asked = [(kb, q, s, t, w) for q in range(5) for s in (0, 1) for kb, t, w in
+             ((("a", "b")[q % 2], "alpha", 1.0), ("a", f"word{q % 4}", 0.7), (("a", "b")[q % 2], "beta", 1.0 + s))]
+    terms = spark.createDataFrame(asked, "kb_id string, query_id int, subq int, term string, weight double")
+    words = search.tokenised(chunks).cache()
+    posted, lengths = search.postings(words).collect(), words.select("kb_id", "allowed", "doc_len").collect()
+    want = Counter()
+    for kb, q, s, t, w in asked:
+        mine = [p for p in posted if p["kb_id"] == kb and p["term"] == t and p["allowed"]]
+        n = sum(r["allowed"] for r in lengths if r["kb_id"] == kb)
+        sizes = [r["doc_len"] for r in lengths if r["kb_id"] == kb]
+        idf = math.log(1 + (n - len(mine) + 0.5) / (len(mine) + 0.5))
+        for p in mine:
+            part = 1 - fixed.BM25_B + fixed.BM25_B * p["doc_len"] / (sum(sizes) / len(sizes))
+            want[q, s, p["chunk_id"]] += w * idf * p["tf"] * (fixed.BM25_K1 + 1) / (p["tf"] + fixed.BM25_K1 * part)
+    best = set()
+    for q, s in {k[:2] for k in want}:
+        ranked = sorted((-round(v, 6), k[2]) for k, v in want.items() if k[:2] == (q, s))
+        best |= {(q, s, c, rank, -v) for rank, (v, c) in enumerate(ranked[:4])}
+    monkeypatch.setattr(search, "BLOCK_CHUNKS", 9)
+    monkeypatch.setattr(search, "BLOCK_QUESTIONS", 3)
+    for index in (search.postings(words), search.chunk_terms(words)):
+        hits = search.bm25_search(terms, index, words.select("kb_id", "allowed", "doc_len"), "allowed", 4)
+        assert {(h["query_id"], h["subq"], h["chunk_id"], h["rank"], round(h["score"], 6)) for h in hits.collect()} == best
