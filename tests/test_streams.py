@@ -13,7 +13,7 @@ from tidemark.operators import search, signals
 from tidemark.plans import catalog
 from tidemark.plans.queries_streams import StreamTables, out_path, run
 from tidemark.plans.tables import Tables
-from tidemark.streaming import ingestion, jobs
+from tidemark.streaming import ingestion, jobs, spans
 
 SF = "/root/testdata/sf0.001"
 
@@ -161,3 +161,22 @@ def test_tables_in_folders_of_files_are_streamed(spark, tmp_path):
     assert rows(told.select("session_id", "trace_id", "rephrase_of")) == rows(batch.select("session_id", "trace_id", "rephrase_of")) and batch.count() > 0
     live = catalog.QUERIES["k1_incremental_ingest"](spark, folder)
     assert live.select("doc_id").distinct().count() == 4
+
+
+def test_many_keys_share_a_state(spark):
+    """A state is a slot's span of time with all its keys, so the number of states does not follow that of the keys."""
+    start = datetime.datetime(2024, 3, 1, tzinfo=datetime.UTC)
+    data = [(n, n % 900 if n % 11 else None, start + datetime.timedelta(seconds=n)) for n in range(3000)]
+    asked = spark.createDataFrame(data, "request_id long, key long, created_at timestamp")
+    states = spans.in_spans(asked, 60, ["key"]).select("slot", "span").distinct().count()
+    assert states <= 2 * (spans.SLOTS + 1) < 900
+
+
+def test_rates_of_null_keys_are_counted_together(spark, tmp_path):
+    start = datetime.datetime(2024, 3, 1, tzinfo=datetime.UTC)
+    data = [(n, n % 3 if n % 2 else None, start + datetime.timedelta(seconds=7 * n)) for n in range(60)]
+    schema = "request_id long, key long, created_at timestamp"
+    batch = jobs.rates_in_window(spark.createDataFrame(data, schema)).select("request_id", "key", "n_recent")
+    stream = in_triggers(spark, str(tmp_path), [data[:40], data[40:]], schema)
+    got = run(Tables(spark, SF), jobs.rate_stream(stream, late="1 hour"), ["key", "request_id"])
+    assert {tuple(r) for r in got.select("request_id", "key", "n_recent").collect()} == {tuple(r) for r in batch.collect()}

@@ -137,10 +137,10 @@ def rate_stream(requests: DataFrame, seconds: int = 60, late: str = "10 minutes"
     last count of each (:func:`latest`) is the batch form's.  Requests later than ``late`` are dropped.
     """
     kinds = dict(requests.dtypes)
-    rows = spans.in_spans(requests.withWatermark("created_at", late), seconds)
-    kept = _schema(f"id {kinds['request_id']}, at long, own boolean")
+    rows = spans.in_spans(requests.withWatermark("created_at", late), seconds, ["key"])
+    kept = _schema(f"key {kinds['key']}, id {kinds['request_id']}, at long, own boolean")
     told = f"key {kinds['key']}, request_id {kinds['request_id']}, n_recent long"
-    keyed = rows.select("key", "span", F.col("request_id").alias("id"), "at", "own", "created_at").groupBy("key", "span")
+    keyed = rows.select("slot", "span", "key", F.col("request_id").alias("id"), "at", "own", "created_at").groupBy("slot", "span")
     return keyed.transformWithStateInPandas(spans.Rates(kept, seconds * 1_000_000), told, "Update", "EventTime")
 
 
@@ -165,12 +165,12 @@ def rephrase_stream(
         F.lower(F.trim("query")).alias("said"),
         text.content_terms(F.col("query")).alias("terms"),
     )
-    kept = _schema(f"id {kinds['trace_id']}, at long, own boolean, said string, terms array<string>")
+    kept = _schema(f"kb_id {kinds['kb_id']}, session_id {kinds['session_id']}, id {kinds['trace_id']}, at long, own boolean, said string, terms array<string>")
     told = (
         f"kb_id {kinds['kb_id']}, session_id {kinds['session_id']}, trace_id {kinds['trace_id']}, "
         f"rephrase_of {kinds['trace_id']}, similarity double"
     )
-    keyed = spans.in_spans(rows, window_s).groupBy("kb_id", "session_id", "span")
+    keyed = spans.in_spans(rows, window_s, ["kb_id", "session_id"]).groupBy("slot", "span")
     return keyed.transformWithStateInPandas(spans.Rephrases(kept, window_s * 1_000_000, threshold), told, "Update", "EventTime")
 
 
