@@ -83,6 +83,35 @@ def test_exact_matches_whole_words_and_punctuation(spark):
     assert {(r["query_id"], r["chunk_id"]) for r in both} == {(1, "c1"), (2, "c3")}
 
 
+def test_all_patterns_wanted_looks_only_into_chunks_that_may_have_all(spark, monkeypatch):
+    """The costly look into a text is for chunks with a word of every pattern; repeated chunks count as often as they are there."""
+    rows = [("c1", "d", 0, "see v1.2 and err-42", True), ("c2", "d", 1, "err-42 only", True), ("c3", "d", 2, "v1 err", True), ("c4", "d", 3, "err-42 x", True)]
+    chunks = chunks_df(spark, rows)
+    twice = chunks.where("chunk_id = 'c4'")
+    pats = spark.createDataFrame([("kb", 1, 0, ["v1.2", "err-42"]), (None, 2, 0, ["err-42"])], "kb_id string, query_id int, subq int, patterns array<string>")
+    seen = lambda df: sorted((r["query_id"], r["chunk_id"], r["rank"], r["score"]) for r in df.collect())
+    look = search.text.whole_word
+
+    def watched(hay, pattern):
+        return F.when(hay.contains("only"), F.raise_error(F.lit("looked into a chunk without v1.2")).cast("boolean")).otherwise(look(hay, pattern))
+
+    monkeypatch.setattr(search.text, "whole_word", watched)
+    assert seen(search.exact_search(pats, chunks, require_all=True)) == [(1, "c1", 0, 1.0)]
+    monkeypatch.undo()
+    # of a chunk that is there twice, each text is met by each place of a pattern
+    four = spark.createDataFrame([("kb", 1, 0, ["err-42", "zz", "yy", "ww"])], "kb_id string, query_id int, subq int, patterns array<string>")
+    assert seen(search.exact_search(four, chunks.unionByName(twice), require_all=True)) == [(1, "c4", 0, 1.0)]
+
+
+@pytest.mark.parametrize("mask", ["allowed", "escalated"])
+def test_bm25_with_stored_frequencies_is_the_same(spark, mask):
+    chunks = chunks_df(spark, chunk_rows() + [("c3", "d0", 99, "alpha beta", True), ("c99", "d0", 98, "omega", False)])
+    index, lengths = search.postings(chunks), search.chunk_lengths(chunks)
+    terms = search.query_terms(subqueries_df(spark, [(1, 0, "alpha beta gamma"), (2, 0, "omega"), (3, 0, "unknown")]))
+    found = [search.bm25_search(terms, index, lengths, mask, 7, f).collect() for f in (None, search.term_frequencies(index))]
+    assert found[0] and sorted(found[0]) == sorted(found[1])
+
+
 @pytest.mark.parametrize("block", [4, 1000])
 def test_dense_blocks_equal_numpy(spark, block):
     rng = np.random.default_rng(3)
