@@ -210,3 +210,60 @@ def test_bm25_in_blocks_equals_the_sum_of_all_pairs(spark, monkeypatch):
     for index in (search.postings(words), search.chunk_terms(words)):
         hits = search.bm25_search(terms, index, words.select("kb_id", "allowed", "doc_len"), "allowed", 4)
         assert {(h["query_id"], h["subq"], h["chunk_id"], h["rank"], round(h["score"], 6)) for h in hits.collect()} == best
+
+
+@pytest.mark.parametrize("mask", ["allowed", "escalated"])
+def test_bm25_over_stored_blocks_is_the_plain_sum(spark, monkeypatch, mask):
+    """Blocks hold all chunks, shown by a mask or not, and the first blocks' k-th score loses none of the best of the others."""
+    monkeypatch.setattr(search, "BLOCK_CHUNKS", 5)
+    rows = [(c, d, o, body.replace("alpha", "alphas"), shown) for c, d, o, body, shown in chunk_rows(90)]
+    rows += [rows[3], rows[7], ("c11", "d", 99, "beta gamma gamma", False)]  # some come twice, as they are or with other words
+    words = search.tokenised(chunks_df(spark, rows))
+    asked = subqueries_df(spark, [(1, 0, "alpha beta"), (1, 1, "sigma theta kappa lambda"), (2, 0, "kappa unknown")])
+    terms, index = search.query_terms(asked), search.posting_blocks(words, len(rows)).cache()
+    assert index.select("block").distinct().count() > 4
+    hits = search.bm25_search(terms, index, search.block_lengths(index), mask, 7).collect()
+    posted = search.postings(words).collect()
+    lengths = words.collect()
+    n, avg = sum(r[mask] for r in lengths), sum(r["doc_len"] for r in lengths) / len(lengths)
+    df = Counter(p["term"] for p in posted if p[mask])
+    want = Counter()
+    for t in terms.collect():
+        for p in (p for p in posted if p["term"] == t["term"] and p[mask]):
+            part = 1 - fixed.BM25_B + fixed.BM25_B * p["doc_len"] / avg
+            idf = math.log(1 + (n - df[t["term"]] + 0.5) / (df[t["term"]] + 0.5))
+            want[t["query_id"], t["subq"], p["chunk_id"]] += t["weight"] * idf * p["tf"] * (fixed.BM25_K1 + 1) / (p["tf"] + fixed.BM25_K1 * part)
+    best = set()
+    for q, s in {key[:2] for key in want}:
+        ranked = sorted((-round(v, 6), key[2]) for key, v in want.items() if key[:2] == (q, s))
+        best |= {(q, s, c, rank, -v) for rank, (v, c) in enumerate(ranked[:7])}
+    assert {(h["query_id"], h["subq"], h["chunk_id"], h["rank"], round(h["score"], 6)) for h in hits} == best
+
+
+def test_words_are_shuffled_once_for_the_index(spark):
+    plan = search.posting_blocks(search.tokenised(chunks_df(spark, chunk_rows())), 60)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_a_block_lets_out_only_what_reaches_the_floor():
+    import pyarrow as pa
+
+    r = random.Random(4)
+    texts = [[r.choice(WORDS[: 2 + n % 9]) for _ in range(12)] for n in range(300)]
+    frame = pa.table({"kb_id": ["kb"] * 300, "chunk_id": [f"c{n:03}" for n in range(300)], "doc_len": pa.array([12] * 300, pa.int32()), "terms": texts, "block": [0] * 300})
+    parts = search._posted(frame, [], None)
+    ask = lambda floor: pa.table({
+        "query_id": [1], "subq": [0], "kb_id": [["kb"] * 4], "term": [[WORDS[0], WORDS[1], WORDS[8], WORDS[9]]], "w": [[0.1, 0.2, 2.0, 3.0]], "avg_len": [[12.0] * 4],
+        "floor": pa.array([floor], pa.float64()),
+    })
+    every = search._best_of_block(parts, ask(None), 300).to_pylist()
+    assert len(every) > 250
+    floor = sorted(x["score"] for x in every)[-20]
+    kept = search._best_of_block(parts, ask(floor), 300).to_pylist()
+    assert kept == [x for x in every if x["score"] >= floor - 2e-6] and len(kept) < 60
+
+
+def test_a_word_is_stemmed_alike_in_python(spark):
+    said = [a + b for a in ("go", "walk", "straße", "\U0001d4b3xyz", "i") for b in ("", *fixed.STEM_SUFFIXES, "er")]
+    got = spark.createDataFrame([(w,) for w in said], "w string").select("w", search.text.stem(F.col("w")).alias("s")).collect()
+    assert {x["w"]: x["s"] for x in got} == {w: search.text.stem_word(w) for w in said}
