@@ -267,3 +267,34 @@ def test_a_word_is_stemmed_alike_in_python(spark):
     said = [a + b for a in ("go", "walk", "straße", "\U0001d4b3xyz", "i") for b in ("", *fixed.STEM_SUFFIXES, "er")]
     got = spark.createDataFrame([(w,) for w in said], "w string").select("w", search.text.stem(F.col("w")).alias("s")).collect()
     assert {x["w"]: x["s"] for x in got} == {w: search.text.stem_word(w) for w in said}
+
+
+def test_stages_after_the_search_read_only_the_chunks_it_found(spark, tmp_path):
+    """Texts of all chunks were joined anew, and shuffled, for every use of the candidates; now those found are looked up once."""
+    from tidemark.plans import queries_answers, queries_retrieval, tables
+
+    docs = [(i, f"title {i}\nalpha beta {i}\n\ngamma {i}", "en" if i % 3 else None, "web", 30) for i in range(12)] + [(3, "title 3\nagain", "en", "web", 13), (99, None, "en", "web", 0)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (3, 0, 1), (3, 1, 0)], "doc_id long, quality long, toxic long").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(7, "alpha beta. gamma 3.")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    t = tables.Tables(spark, str(tmp_path))
+    named = [(7, 0, "3-1"), (7, 1, "3-1"), (7, 0, "5-3"), (7, 1, "0-0"), (7, 0, "77-1")]
+    hits = spark.createDataFrame([(*h, "bm25", n, 3.0 - n) for n, h in enumerate(named)], "query_id long, subq int, chunk_id string, retriever string, rank int, score double")
+    t.stored("hits", lambda: hits)
+
+    key = lambda rows: sorted(map(str, rows))
+    every = t.masked_chunks().where(F.col("chunk_id").isin([h[2] for h in named]))
+    assert key(t.masked_chunks(hits=hits).select(every.columns).collect()) == key(every.collect()) != []
+    assert every.count() == 10  # the document that is there twice meets its labels and its own copies
+    assert _reads_texts(t.masked_chunks())
+    stages = queries_retrieval.Cascade(t).ruled(), queries_answers.Work(t).candidates
+    for stage, columns in zip(stages, (["query_id", "chunk_id"], ["query_id", "chunk_id", "text"]), strict=True):
+        assert key(stage.select(columns).distinct().collect()) != []
+        assert not _reads_texts(stage)
+
+
+def _reads_texts(df):
+    """Whether a plan scans the documents' texts, rather than those of stored chunks."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line and "doc_id#" in line and "text#" in line]
+    return any("chunk_id#" not in line for line in scans)

@@ -13,7 +13,7 @@ from ..operators import answers, signals
 from ..session import cut_lineage
 from . import oracle as o
 from .catalog import query
-from .queries_retrieval import _PARTS, bm25_hits, bm25_sql
+from .queries_retrieval import _PARTS, bm25_sql, hit_chunks, sentence_hits
 
 fx = o.fixed
 OPENINGS = ("", "Compare this: ", "Research ", "Hello there!", "What is the latest on ")
@@ -113,12 +113,11 @@ class Work:
 
     def __init__(self, t):
         self.t = t
-        self.chunks = t.masked_chunks()
         self.subqueries = t.parts()
-        hits = t.stored("hits", lambda: bm25_hits(t, self.subqueries, 150, "escalated"))
+        hits = sentence_hits(t)
         best = hits.groupBy("query_id", "chunk_id").agg(F.max("score").alias("final"))
         self.candidates = t.stored(
-            "candidates", lambda: best.join(self.chunks.select("chunk_id", "doc_id", "text", "ord"), "chunk_id")
+            "candidates", lambda: best.join(hit_chunks(t).select("chunk_id", "doc_id", "text", "ord"), "chunk_id")
         )
         self.top = hits.where(F.col("rank") == 0).select("query_id", F.col("subq").alias("sentence"), "chunk_id")
 
@@ -305,7 +304,7 @@ def _(t):
 )
 def _(t):
     w = Work(t)
-    return answers.citations(w.sentences(), w.chunks).select("query_id", "chunk_id", "cited_text")
+    return answers.citations(w.sentences(), hit_chunks(t)).select("query_id", "chunk_id", "cited_text")
 
 
 @query(
