@@ -105,3 +105,36 @@ def test_a_failed_operation_is_finished_or_tried_again(spark, tmp_path, monkeypa
         assert rows(store.chunks()) == want  # the next reader finishes it
     store.roll_back("a", ids)
     assert rows(store.chunks()) == want
+
+
+def test_an_operation_moves_no_text_twice_and_leaves_one_copy(spark, tmp_path):
+    seen = []
+    store = ChunkStore(spark, str(tmp_path / "s"), slices=2).create(chunks(spark))
+    real = store._write
+    store._write = lambda rows, *more: (seen.append(rows._jdf.queryExecution().executedPlan().toString()), real(rows, *more))
+    targets = spark.createDataFrame([(i, 3) for i in (1, 3, 5)], "doc_id long, version int")
+    store.activate("a", targets)
+    store.roll_back("b", targets)
+    store.discard("c", targets)
+    store.promote("d")
+    assert len(seen) == 4
+    for plan in seen:  # a line of an exchange names nothing below it, a join's shuffled side is sorted
+        assert "SortMergeJoin" not in plan and not re.search(r"Exchange hashpartitioning\([^)]*slice", plan)
+    assert not glob.glob(f"{store.root}/journal/*/rows/**/*.parquet", recursive=True)
+
+
+def test_a_move_that_was_cut_short_is_taken_up_where_it_ended(spark, tmp_path, monkeypatch):
+    now = chunks(spark).cache()
+    store = ChunkStore(spark, str(tmp_path / "s"), slices=2).create(now)
+    ids = spark.createDataFrame([(i,) for i in range(0, 40, 4)], "doc_id long")
+    real = store._partitions
+    with monkeypatch.context() as m:
+        m.setattr(store, "_apply", lambda journal: None)
+        store.roll_back("a", ids)
+    journal = f"{store.root}/journal/a"
+    assert len(real(f"{journal}/rows")) > 2
+    with monkeypatch.context() as m:  # two partitions are put in place, then the writer is lost
+        m.setattr(store, "_partitions", lambda path: (*real(path)[:2], "kb_id=none/status=x/slice=0"))
+        with pytest.raises(Exception, match="none"):
+            store._apply(journal)
+    assert rows(store.chunks()) == rows(corpus.roll_back(now, ids))

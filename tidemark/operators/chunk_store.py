@@ -3,9 +3,12 @@
 Partitions are (kb_id, status, slice), the slice being a hash of the document: a workspace with a third of
 all rows is many partitions, and readers of live chunks never open retired ones.  An operation
 reads the slices of its documents, works out their new rows with the functions of ``corpus``, and
-stores these in a journal before it overwrites the partitions.  Whoever comes next finishes what a
-failed writer had made ready; an operation is known by its id, so one that is tried again once
-done changes nothing.  One writer at a time.
+stores these in a journal, as the partitions they are to be, before it puts them in place by renaming.
+Whoever comes next finishes what a failed writer had made ready; an operation is known by its id, so one
+that is tried again once done changes nothing.  One writer at a time.
+
+No texts are shuffled: a task writes the partitions it has rows of, so a partition is as many files as
+tasks had rows for it, ``TASKS`` a core at most.
 """
 
 from __future__ import annotations
@@ -16,10 +19,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..session import cut_lineage, maybe_broadcast
 from . import corpus, search
 
 PLACE = ["kb_id", "status", "slice"]
 SLICES = 64
+TASKS = 4  # a core: the most tasks that write, and so the most files of a partition
+
+
+def _measured(documents: DataFrame) -> DataFrame:
+    """A row per document, stored and broadcast if it is small: then the chunks' texts stay where they are."""
+    return maybe_broadcast(cut_lineage(documents, "documents"))
 
 
 class ChunkStore:
@@ -44,15 +54,27 @@ class ChunkStore:
     def _marked(self, path: str) -> bool:
         return self._exists(f"{path}/_SUCCESS")
 
-    def _partition(self, row) -> str:
-        name = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
-        return f"{self.root}/data/" + "/".join(name(c, str(row[c])) for c in PLACE)
+    def _partitions(self, path: str) -> list[str]:
+        """The partition folders below ``path`` that are there, as kb_id=.../status=.../slice=...; names alone are listed."""
+        found = [""]
+        for _ in PLACE:
+            below = []
+            for name in found:
+                fs, at = self._fs(f"{path}/{name}" if name else path)
+                below += [f"{name}/{x.getPath().getName()}".lstrip("/") for x in (fs.listStatus(at) if fs.exists(at) else ()) if x.isDirectory() and "=" in x.getPath().getName()]
+            found = below
+        return found
 
     # ---------------------------------------------------------------- reading
 
     def _slice(self) -> Column:
         return F.pmod(F.xxhash64("kb_id", "doc_id"), F.lit(self.slices)).cast("int")
 
+    def _write(self, rows: DataFrame, path: str, mode: str) -> None:
+        tasks = TASKS * self.spark.sparkContext.defaultParallelism
+        kinds = {"compression": "zstd", "partitionOverwriteMode": "static"}
+        rows.coalesce(tasks).write.mode(mode).options(**kinds).partitionBy(*PLACE).parquet(path)
+
     def _stored(self) -> DataFrame:
         found = self.spark.read.parquet(f"{self.root}/data").schema
         # partition values are text in paths, and a kb_id must not become a number by its looks
@@ -72,8 +94,7 @@ class ChunkStore:
     # ---------------------------------------------------------------- writing
 
     def create(self, chunks: DataFrame) -> ChunkStore:
-        rows = chunks.withColumn("slice", self._slice())
-        rows.repartition("kb_id", "status", "slice").write.partitionBy(*PLACE).parquet(f"{self.root}/data")
+        self._write(chunks.withColumn("slice", self._slice()), f"{self.root}/data", "errorifexists")
         return self
 
     def rewrite(self, op: str, docs: DataFrame, change: Callable[[DataFrame], DataFrame]) -> None:
@@ -91,21 +112,32 @@ class ChunkStore:
         # the join is on partition columns: with a small side Spark prunes the scan by it
         before = self._stored().join(touched, ["kb_id", "slice"], "left_semi")
         after = change(before.drop("slice")).withColumn("slice", self._slice())
-        after.repartition(*PLACE).write.mode("overwrite").parquet(f"{journal}/rows")
-        before.select(*PLACE).distinct().write.mode("overwrite").parquet(f"{journal}/before")
+        self._write(after, f"{journal}/rows", "overwrite")
+        # what holds rows and will hold none any more is known before anything is moved
+        made = set(self._partitions(f"{journal}/rows"))
+        slices = {(r["kb_id"], r["slice"]) for r in touched.toLocalIterator()}
+        left = [p for p in self._partitions(f"{self.root}/data") if p not in made and self._place(p) in slices]
+        self.spark.createDataFrame([(p,) for p in left], "path string").coalesce(1).write.mode("overwrite").parquet(f"{journal}/left")
         self._mark(f"{journal}/ready")
         self._apply(journal)
 
+    def _place(self, partition: str) -> tuple[str, int]:
+        """kb_id and slice of a partition's folder."""
+        unescaped = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+        values = [x.split("=", 1)[1] for x in partition.split("/")]
+        return unescaped(values[0]), int(values[2])
+
     def _apply(self, journal: str) -> None:
-        rows = self.spark.read.parquet(f"{journal}/rows")
-        rows = rows.select(*[c for c in rows.columns if c not in PLACE], *PLACE)
-        dealt = rows.repartition(*PLACE)
-        dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PLACE).parquet(f"{self.root}/data")
-        # what held rows and holds none any more is not among the partitions just written
-        left = self.spark.read.parquet(f"{journal}/before").join(rows.select(*PLACE).distinct(), PLACE, "left_anti")
-        for row in left.toLocalIterator():
-            fs, at = self._fs(self._partition(row))
+        # a partition is moved whole, and what was moved is no longer in the journal: a second try goes on where the first ended
+        for row in self.spark.read.schema("path string").parquet(f"{journal}/left").toLocalIterator():
+            fs, at = self._fs(f"{self.root}/data/{row['path']}")
             fs.delete(at, True)
+        for partition in self._partitions(f"{journal}/rows"):
+            fs, to = self._fs(f"{self.root}/data/{partition}")
+            fs.delete(to, True)
+            fs.mkdirs(to.getParent())
+            if not fs.rename(self._fs(f"{journal}/rows/{partition}")[1], to):
+                raise OSError(f"{partition} of {journal} was not put in place")
         self.spark.catalog.refreshByPath(f"{self.root}/data")
         self._mark(f"{journal}/done")
 
@@ -135,22 +167,22 @@ class ChunkStore:
 
     def activate(self, op: str, targets: DataFrame) -> None:
         """C4: ``targets`` has doc_id, version and, if known, kb_id."""
-        self.rewrite(op, self._named(targets), lambda rows: corpus.activate_versions(rows, targets))
+        self.rewrite(op, self._named(targets), lambda rows: corpus.activate_versions(rows, _measured(targets.select("doc_id", "version")), _measured))
 
     def stage(self, op: str, staged: DataFrame) -> None:
         """C5: ``staged`` rows take the place of their documents' former staged copies."""
         docs, new = staged.select("kb_id", "doc_id").distinct(), staged
-        self.rewrite(op, docs, lambda rows: corpus.discard_staged(rows, docs).unionByName(new.select(*rows.columns)))
+        self.rewrite(op, docs, lambda rows: corpus.discard_staged(rows, docs, _measured).unionByName(new.select(*rows.columns)))
 
     def promote(self, op: str) -> None:
         """C6: every staged version becomes the live one; only slices with staged rows are read whole."""
         staged = self._stored().where(F.col("status") == "staged").select("kb_id", "doc_id").distinct()
-        self.rewrite(op, staged, corpus.promote_staged)
+        self.rewrite(op, staged, lambda rows: corpus.promote_staged(rows, _measured))
 
     def discard(self, op: str, docs: DataFrame | None = None) -> None:
         named = self._stored().where(F.col("status") == "staged").select("kb_id", "doc_id").distinct() if docs is None else self._named(docs)
-        self.rewrite(op, named, lambda rows: corpus.discard_staged(rows, docs))
+        self.rewrite(op, named, lambda rows: corpus.discard_staged(rows, docs, _measured))
 
     def roll_back(self, op: str, docs: DataFrame) -> None:
         """C7."""
-        self.rewrite(op, self._named(docs), lambda rows: corpus.roll_back(rows, docs))
+        self.rewrite(op, self._named(docs), lambda rows: corpus.roll_back(rows, docs, _measured))

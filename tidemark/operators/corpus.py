@@ -6,6 +6,8 @@ given; callers write the touched ``kb_id`` partitions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,17 +63,21 @@ def next_versions(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     return docs.join(highest, "doc_id", "left").withColumn("next_version", known + 1).drop("_v")
 
 
-def activate_versions(chunks: DataFrame, targets: DataFrame) -> DataFrame:
+def _as_is(documents: DataFrame) -> DataFrame:
+    return documents
+
+
+def activate_versions(chunks: DataFrame, targets: DataFrame, held: Callable[[DataFrame], DataFrame] = _as_is) -> DataFrame:
     """Make ``version`` live per document of ``targets``; keep what was live before it.
 
     Of the older versions only the one live until now stays, as retired.  Where none was
-    live, the direct predecessor stays.
+    live, the direct predecessor stays.  ``held`` may store or broadcast what is known of each document.
     """
     t = targets.select("doc_id", "version")
     live = (
         chunks.where(F.col("status") == "active").groupBy("doc_id").agg(F.max("doc_version").alias("_was"))
     )
-    rows = chunks.join(t, "doc_id", "left").join(live, "doc_id", "left")
+    rows = chunks.join(t, "doc_id", "left").join(held(live), "doc_id", "left")
     chosen = F.col("doc_version") == F.col("version")
     status = F.when(chosen, "active").when(F.col("status") == "active", "retired").otherwise(F.col("status"))
     moved = rows.withColumn("status", F.when(F.col("version").isNull(), F.col("status")).otherwise(status))
@@ -88,21 +94,24 @@ def staged_targets(chunks: DataFrame) -> DataFrame:
     return staged.groupBy("doc_id").agg(F.max("doc_version").alias("version"))
 
 
-def promote_staged(chunks: DataFrame) -> DataFrame:
-    return activate_versions(chunks, staged_targets(chunks))
+def promote_staged(chunks: DataFrame, held: Callable[[DataFrame], DataFrame] = _as_is) -> DataFrame:
+    return activate_versions(chunks, held(staged_targets(chunks)), held)
 
 
-def discard_staged(chunks: DataFrame, doc_ids: DataFrame | None = None) -> DataFrame:
+def discard_staged(chunks: DataFrame, doc_ids: DataFrame | None = None, held: Callable[[DataFrame], DataFrame] = _as_is) -> DataFrame:
     if doc_ids is None:
         return chunks.where(F.col("status") != "staged")
-    drop = doc_ids.select("doc_id").distinct()
+    drop = held(doc_ids.select("doc_id").distinct())
     staged = chunks.where(F.col("status") == "staged").join(drop, "doc_id", "left_anti")
     return chunks.where(F.col("status") != "staged").unionByName(staged.select(*chunks.columns))
 
 
-def roll_back(chunks: DataFrame, doc_ids: DataFrame) -> DataFrame:
-    """Bring back the newest retired version; the version rolled away from is retired."""
-    wanted = doc_ids.select("doc_id").distinct()
+def roll_back(chunks: DataFrame, doc_ids: DataFrame, held: Callable[[DataFrame], DataFrame] = _as_is) -> DataFrame:
+    """Bring back the newest retired version; the version rolled away from is retired.
+
+    ``held`` may store or broadcast what is known of each document.
+    """
+    wanted = held(doc_ids.select("doc_id").distinct())
     state = (
         chunks.join(wanted, "doc_id", "left_semi")
         .groupBy("doc_id")
@@ -112,7 +121,7 @@ def roll_back(chunks: DataFrame, doc_ids: DataFrame) -> DataFrame:
         )
         .where(F.col("_back").isNotNull())
     )
-    rows = chunks.join(state, "doc_id", "left")
+    rows = chunks.join(held(state), "doc_id", "left")
     v = F.col("doc_version")
     touched = F.col("_back").isNotNull() & F.col("status").isin("active", "retired")
     status = F.when(v == F.col("_back"), "active").otherwise("retired")
