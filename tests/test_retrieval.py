@@ -245,6 +245,19 @@ def test_words_are_shuffled_once_for_the_index(spark):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+def test_postings_move_a_chunk_as_one_value(spark):
+    """A row per term and chunk was shuffled; now a chunk's words are, and are counted where they arrive."""
+    rows = chunk_rows(30)
+    rows += [rows[3], rows[3], ("c11", "d", 99, "beta gamma gamma", False), ("bare", "d", 1, "", True)]
+    chunks = chunks_df(spark, rows).withColumn("kb_id", F.lit("all"))
+    plan = search.postings(chunks)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(chunk_id" in plan
+    words = search.tokenised(chunks).collect()
+    want = Counter((w["chunk_id"], w["doc_len"], w["allowed"], search.text.stem_word(x)) for w in words for x in w["words"])
+    got = search.postings(chunks).collect()
+    assert {(p["chunk_id"], p["doc_len"], p["allowed"], p["term"]): p["tf"] for p in got} == want and len(got) == len(want)
+
+
 def test_a_block_lets_out_only_what_reaches_the_floor():
     import pyarrow as pa
 

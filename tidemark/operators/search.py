@@ -120,11 +120,15 @@ def postings(chunks: DataFrame, only_terms: DataFrame | None = None) -> DataFram
     """Term frequencies per chunk; with ``only_terms`` just for the terms asked about.
 
     The filter by term runs before the shuffle, so an ad-hoc search moves only the
-    postings it needs.  ``chunks`` may carry mask columns, which are kept; it may also be
+    postings it needs.  Without it a chunk's words are moved as one value, and counted where all rows
+    of its key have met.  ``chunks`` may carry mask columns, which are kept; it may also be
     :func:`tokenised`.
     """
     masks = [c for c in ("allowed", "escalated") if c in chunks.columns]
     words = chunks if "words" in chunks.columns else tokenised(chunks)
+    if only_terms is None:
+        words = words.select("kb_id", "chunk_id", *masks, "doc_len", _one_value("words").alias("words")).repartition("chunk_id")  # a constant kb_id would not count as part of a key
+        words = words.withColumn("words", F.split("words", " "))
     exploded = (
         words.select("kb_id", "chunk_id", *masks, "doc_len", F.explode("words").alias("_w"))
         .withColumn("term", text.stem(F.col("_w")))
@@ -151,6 +155,11 @@ def _blocks(n: int) -> int:
     return max(1, min(-(-n // BLOCK_CHUNKS), MANY_BLOCKS), -(-n // (4 * BLOCK_CHUNKS)))
 
 
+def _one_value(words: str) -> Column:
+    """A list of words as one text, null if it has none: one value is less to move than many, and words have no spaces."""
+    return F.when(F.size(words) > 0, F.array_join(words, " "))
+
+
 def posting_blocks(words: DataFrame, n: int) -> DataFrame:
     """What :func:`postings` counts, from :func:`tokenised`, as lists by block of chunks; stored, it serves every search.
 
@@ -159,8 +168,7 @@ def posting_blocks(words: DataFrame, n: int) -> DataFrame:
     The texts' words are shuffled once and become terms in the block, each word once.
     """
     masks = [c for c in ("allowed", "escalated") if c in words.columns]
-    joined = F.when(F.size("words") > 0, F.array_join("words", " "))  # one value is less to move than many; words have no spaces
-    rows = words.select("kb_id", "chunk_id", *masks, "doc_len", joined.alias("terms"))
+    rows = words.select("kb_id", "chunk_id", *masks, "doc_len", _one_value("words").alias("terms"))
     return _dealt(rows, _blocks(n), text.stem_word)
 
 
