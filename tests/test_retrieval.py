@@ -311,3 +311,21 @@ def _reads_texts(df):
     plan = df._jdf.queryExecution().executedPlan().toString()
     scans = [line for line in plan.splitlines() if "FileScan" in line and "doc_id#" in line and "text#" in line]
     return any("chunk_id#" not in line for line in scans)
+
+
+def test_a_base_keeps_blocks_and_exact_search_takes_stored_words(spark):
+    """Heal rounds built blocks from all postings, and split all texts into words, for every search."""
+    from tidemark.plans.questions import Base
+
+    chunks = chunks_df(spark, [*chunk_rows(20), ("c50", "d1", 50, "alpha, kappa-7 beta", True), ("c51", "d1", 51, "kappa 7", True)])
+    base = Base.build(chunks, chunks.select("kb_id", "doc_id"))
+    assert "block" in base.index.columns and base.frequencies is None
+    assert base.lengths.count() == 22
+    patterns = spark.createDataFrame([("kb", 1, 0, ["kappa-7", "alpha"]), ("kb", 2, 0, ["7"])], "kb_id string, query_id int, subq int, patterns array<string>")
+    key = ["query_id", "chunk_id", "rank", "score"]
+    stored = chunks.withColumn("anchors", search.anchors(search.exact_hay()))
+    for every in (False, True):
+        plain, quick = (sorted(search.exact_search(patterns, c, require_all=every).select(key).collect()) for c in (chunks, stored))
+        assert plain == quick and (1, "c50") in {(r["query_id"], r["chunk_id"]) for r in plain}
+    unread = chunks.withColumn("anchors", F.array().cast("array<string>"))
+    assert search.exact_search(patterns, unread).count() == 0
